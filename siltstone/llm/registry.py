@@ -1,10 +1,11 @@
 """The training-data queries and their SQL."""
 
-from siltstone.llm import chat, mixing, sharding
+from siltstone.llm import chat, mixing, sharding, toxicity
 
 QUERIES = {
     "op3_rake": mixing.op3_rake,
     "op4_perspectives": chat.op4_perspectives,
+    "op6_grammar": toxicity.op6_grammar,
     "op10_interleave": sharding.op10_interleave,
 }
 
