@@ -1,11 +1,14 @@
 """The training-data queries and their SQL."""
 
-from siltstone.llm import chat, mixing, sharding, toxicity
+from siltstone.llm import byte_bpe, chat, fingerprints, mixing, progressive_jpeg, sharding, toxicity
 
 QUERIES = {
+    "op2_rank_queue": byte_bpe.op2_rank_queue,
     "op3_rake": mixing.op3_rake,
     "op4_perspectives": chat.op4_perspectives,
     "op6_grammar": toxicity.op6_grammar,
+    "op7_progressive": progressive_jpeg.op7_progressive,
+    "op8_one_permutation": fingerprints.op8_one_permutation,
     "op10_interleave": sharding.op10_interleave,
 }
 
