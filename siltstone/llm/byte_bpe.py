@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -176,17 +177,12 @@ class Encoder:
             if self.held > self.memory:
                 self.seen, self.held = {}, 0
             seen = self.seen
-            new = {p for ps in pieces for p in ps if p not in seen}
+            new = sorted(set(chain.from_iterable(pieces)).difference(seen))
             if new:
-                new = sorted(new)
                 for p, ids in zip(new, self.vocabulary.encode_all([p.encode("utf-8") for p in new])):
                     seen[p] = tuple(ids)
                     self.held += 180 + len(p) + 8 * len(ids)
-            for ps in pieces:
-                ids: list[int] = []
-                for p in ps:
-                    ids += seen[p]
-                out.append(ids)
+            out += [list(chain.from_iterable(map(seen.__getitem__, ps))) for ps in pieces]
         return out
 
 
