@@ -1,7 +1,41 @@
-"""Stages of the corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: toxicity, near-dedup, substring dedup, mixing, BPE.
+
+STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and
+returns a frame. All but the last return the columns of ``docs``; each works on
+everything its predecessor kept, and what it decides takes effect in its rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from siltstone.llm import byte_bpe, minmax, mixing, substring_dedup, toxicity
+from siltstone.llm.common import fresh_path
+
+
+def _mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.sampled(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity.stage),
+    ("min-max near-dedup", minmax.stage),
+    ("substring dedup", substring_dedup.stage),
+    ("mixing", _mixed),
+    ("byte-level BPE", byte_bpe.stage),
+]
+
+#: Finite-state scoring and tokenisation are not SQL; the tests hold the stages
+#: against plain Python on a small fixture.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``; each result is written as Parquet in the
+    shared folder and read again as the next stage's input."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        out = fresh_path(spark, "stage-" + name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return docs
