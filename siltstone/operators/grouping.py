@@ -1,0 +1,34 @@
+"""Groups of rows that share keys, by least labels."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def checkpoint_ready(df: DataFrame) -> None:
+    """Uses ``spark.checkpoint.dir``; sets a local one only where it is unset."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="siltstone-"))
+
+
+def shared_key_groups(rows: DataFrame, key: str, by: list[str], rounds: int = 60) -> DataFrame:
+    """Adds ``_group``: the least id reachable over equal values of any of the
+    ``by`` columns (nulls match nothing). Labels spread through each value's
+    least label, one aggregation and join a column and round."""
+    checkpoint_ready(rows)
+    out = rows.withColumn("_group", F.col(key)).checkpoint()
+    for _ in range(rounds):
+        new = out
+        for c in by:
+            least = new.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min("_group").alias("_l"))
+            new = new.join(least, c, "left").withColumn("_group", F.least("_group", F.coalesce("_l", "_group"))).drop("_l")
+        new = new.withColumn("_x", F.lit(0)).drop("_x").checkpoint()
+        moved = new.select(key, "_group").exceptAll(out.select(key, "_group")).limit(1).count()
+        out = new
+        if not moved:
+            return out
+    raise RuntimeError("groups did not settle")

@@ -1,5 +1,6 @@
 """All queries of the library and the SQL that states the same results."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from siltstone.plans import screening, text  # noqa: F401
+from siltstone.plans.base import ORACLES, QUERIES  # noqa: F401
+
+FLAGSHIP = "f3_reason_counts"
