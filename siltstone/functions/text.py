@@ -15,6 +15,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A number not preceded by a word character, and the tokens.
 NUMBER = r"(?<!\w)[+-]?(?:\d+/\d+|\d+(?:,\d{3})*(?:\.\d+)?)"
@@ -34,7 +35,7 @@ CATEGORIES = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
 
@@ -44,7 +45,7 @@ def nfkc(text: pd.Series) -> pd.Series:
 nfkc = nfkc.asNondeterministic()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else t.casefold())
 

@@ -95,9 +95,9 @@ def p19_buckets(spark, d):
     return w.select("doc_id", X.question_bucket(F.col("n")).alias("question_bucket"), X.count_bucket(F.col("n") % 5).alias("count_bucket"), X.magnitude_bucket(F.col("n_chars")).alias("magnitude_bucket"))
 
 
-@query("SELECT o_orderkey, ('0x' || substr(sha256('seed:' || o_orderkey::VARCHAR), 1, 16))::UBIGINT::DECIMAL(20,0) AS seed FROM orders")
+@query("SELECT o_orderkey, ('0x' || substr(sha256('seed:' || o_orderkey::VARCHAR), 1, 16))::UBIGINT::VARCHAR AS seed FROM orders")
 def p21_seed(spark, d):
-    return t(spark, d, "orders").select("o_orderkey", X.seed_of(F.lit("seed"), F.col("o_orderkey").cast("string")).alias("seed"))
+    return t(spark, d, "orders").select("o_orderkey", X.seed_of(F.lit("seed"), F.col("o_orderkey").cast("string")).cast("string").alias("seed"))
 
 
 @query("""SELECT conv_id, turn, role, sha256(trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '"[^"\\n]*"|''[^''\\n]*''', '<quoted>', 'g'), '[+-]?\\d+(?:[.,/]\\d+)*', '<number>', 'g'), '\\s+', ' ', 'g'))) AS signature
