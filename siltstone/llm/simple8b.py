@@ -48,6 +48,20 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(words), np.cumsum(size) - size
 
 
+_SHORT = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id."""
+    if int(ids.max()) < 1 << 16:
+        return _SHORT[ids]
+    out = np.zeros(len(ids), np.uint8)
+    for shift in (0, 16, 32, 48):
+        part = (ids >> np.uint64(shift)).astype(np.uint16)
+        out = np.where(part > 0, _SHORT[part] + np.uint8(shift), out)
+    return out
+
+
 def _pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-len(ids) // BLOCK)
     flat = np.zeros(blocks * BLOCK, np.uint64)
@@ -58,14 +72,15 @@ def _pack_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # the selector at each place: the first, from the fullest, that its ids fit;
     # what follows a block's end counts as zeros
     pick = np.zeros(grid.shape, np.uint8)
-    place = np.arange(BLOCK, dtype=np.int32)
-    top = int(flat.max())
+    place = np.arange(BLOCK, dtype=np.int16)
+    wide = _widths(flat).reshape(grid.shape)
+    top = int(wide.max())
     for s in range(len(SELECTORS), 0, -1):
         n, bits = SELECTORS[s - 1]
-        if top < (1 << bits):
+        if top <= bits:
             fits = np.ones(grid.shape, bool)
         else:
-            over = np.where(grid >> np.uint64(bits) != 0, place, np.int32(1 << 30))
+            over = np.where(wide > bits, place, np.int16(2 * BLOCK))
             fits = np.minimum.accumulate(over[:, ::-1], 1)[:, ::-1] - place >= n
             if not fits.any():
                 break  # a fuller selector fits even less
@@ -173,7 +188,7 @@ class WordTokenizer:
     space, which its normaliser and pattern never join; what was encoded before
     is remembered up to ``memory`` bytes."""
 
-    def __init__(self, path: str, memory: int = 120 << 20):
+    def __init__(self, path: str, memory: int = 240 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -192,7 +207,7 @@ class WordTokenizer:
         new = [w for w in distinct if w not in seen]
         for k in range(0, len(new), 20_000):
             part = new[k:k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 seen[w] = b = np.array(e.ids, "<u4").tobytes()
                 self.held += 160 + len(w) + len(b)
         coded_ids = [seen[w] for w in distinct]
