@@ -10,8 +10,11 @@ Documents with equal shingle sets are one class, found by a 128-bit hash of the
 set. Class representatives of a bucket are first linked to its least member: a
 star, not all pairs. Every candidate is confirmed on full sets. Where a bucket
 still holds several components, signatures are compared across them in blocks
-of at most GRID members, and pairs that may reach the threshold (five standard
-deviations below it) are confirmed too: no link between components is lost.
+of at most GRID members; a document of the smaller component that may reach the
+threshold (five standard deviations below it) with a member of the larger is then
+compared exactly with all of that component's members, block by block through an
+index of their shingles, and one link is kept. No link between components is
+lost, and no table of pairs is made.
 """
 
 from __future__ import annotations
@@ -98,28 +101,31 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of row numbers whose full sets reach the similarity."""
-    wanted = pairs.select(F.col("a").alias("_ref")).unionAll(pairs.select(F.col("b").alias("_ref"))).distinct()
-
-    def squeeze(batches):
+def _squeezed(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(ref, packed): the compressed texts of the wanted row numbers."""
+    def run(batches):
         for batch in batches:
             packed = [len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["ref", "packed"])
 
-    texts = rows.select("_ref", "text").join(wanted, "_ref", "left_semi").mapInArrow(squeeze, "ref long, packed binary")
-    texts = texts.checkpoint()
-    full = pairs.join(texts.select(F.col("ref").alias("a"), F.col("packed").alias("left")), "a").join(texts.select(F.col("ref").alias("b"), F.col("packed").alias("right")), "b").select("a", "b", "left", "right")
+    return rows.select("_ref", "text").join(wanted.select(F.col("ref").alias("_ref")).distinct(), "_ref", "left_semi").mapInArrow(run, "ref long, packed binary").checkpoint()
 
-    def plain(data: bytes) -> bytes:
-        return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+def _plain(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of row numbers whose full sets reach the similarity."""
+    texts = _squeezed(rows, pairs.select(F.col("a").alias("ref")).unionAll(pairs.select(F.col("b").alias("ref"))))
+    full = pairs.join(texts.select(F.col("ref").alias("a"), F.col("packed").alias("left")), "a").join(texts.select(F.col("ref").alias("b"), F.col("packed").alias("right")), "b").select("a", "b", "left", "right")
 
     def check(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 own = batch.slice(k, 256)
                 n = own.num_rows
-                both = [sets_of(Texts.of_list([plain(x) for x in own.column(c).to_pylist()]), words) for c in (2, 3)]
+                both = [sets_of(Texts.of_list([_plain(x) for x in own.column(c).to_pylist()]), words) for c in (2, 3)]
                 size = sum(np.bincount(d, minlength=n) for _, d in both)
                 h, d = (np.concatenate(x) for x in zip(*both))
                 order = np.lexsort((h, d))
@@ -131,6 +137,37 @@ def confirmed(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> Da
     return full.mapInArrow(check, "a long, b long")
 
 
+def _indexed(words: int, percent: int):
+    """Compares the asking documents of a task exactly with a block of members:
+    for each, its link of most shared shingles, if any reaches the similarity."""
+    def run(group: pa.Table) -> pa.Table:
+        refs = group.column("ref").to_numpy()
+        asks = group.column("asks").to_numpy(zero_copy_only=False)
+        hashes, doc = sets_of(Texts.of_list([_plain(x) for x in group.column("packed").to_pylist()]), words)
+        size = np.bincount(doc, minlength=len(refs))
+        ends = np.cumsum(size)
+        member = ~asks[doc]
+        order = np.argsort(hashes[member], kind="stable")
+        index, owner = hashes[member][order], doc[member][order]
+        a_out, b_out = [], []
+        for i in np.flatnonzero(asks):
+            own = hashes[ends[i] - size[i]:ends[i]]
+            lo, hi = np.searchsorted(index, own), np.searchsorted(index, own, "right")
+            n = hi - lo
+            if not n.sum():
+                continue
+            hits = owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            same = np.bincount(hits, minlength=len(refs))
+            good = np.flatnonzero((same > 0) & (100 * same >= percent * (size + size[i] - same)))
+            if len(good):
+                j = good[np.argmax(same[good])]
+                a_out.append(min(refs[i], refs[j]))
+                b_out.append(max(refs[i], refs[j]))
+        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+    return run
+
+
 def _across(percent: int):
     """Compares the signatures of a bucket's block across components."""
     values = 2 * PERMUTATIONS
@@ -140,23 +177,23 @@ def _across(percent: int):
 
     def run(group: pa.Table) -> pa.Table:
         refs, comps = group.column("ref").to_numpy(), group.column("comp").to_numpy()
-        side = group.column("side").to_numpy()
+        side, mass = group.column("side").to_numpy(), group.column("mass").to_numpy()
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(refs), values)
-        names, which, counts = np.unique(comps, return_inverse=True, return_counts=True)
+        _, which, counts = np.unique(comps, return_inverse=True, return_counts=True)
         minor = which != counts.argmax()
-        a_out, b_out = [], []
+        asking, asked = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in np.flatnonzero(minor):
-            # pairs of two minor members are met twice: the lesser number takes them
-            other = (comps != comps[i]) & (~minor | (refs > refs[i]))
+            other = comps != comps[i]
             if side[i] >= 0:
                 other &= side != side[i]
             j = np.flatnonzero(other)
-            if len(j):
-                hit = j[(sig[j] == sig[i]).sum(1) >= needed]
-                a_out.append(np.minimum(refs[hit], refs[i]))
-                b_out.append(np.maximum(refs[hit], refs[i]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *a_out]), "b": np.concatenate([empty, *b_out])})
+            j = j[(sig[j] == sig[i]).sum(1) >= needed] if len(j) else j
+            # the document of the lighter component asks the heavier one
+            asks = (mass[i] < mass[j]) | ((mass[i] == mass[j]) & (comps[i] > comps[j]))
+            asking += [np.where(asks, refs[i], refs[j])]
+            asked += [np.where(asks, comps[j], comps[i])]
+        found = np.unique(np.stack([np.concatenate(asking), np.concatenate(asked)], 1), axis=0)
+        return pa.table({"ref": found[:, 0], "comp": found[:, 1]})
 
     return run
 
@@ -176,17 +213,25 @@ def labelled(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     first = confirmed(star, rows, words, percent).checkpoint()
     labels = components(first)
     # buckets that still hold several components
-    placed = bucketed.join(labels.withColumnRenamed("node", "ref"), "ref", "left").select("key", "ref", "size", F.coalesce("label", "ref").alias("comp")).checkpoint()
+    member = bucketed.select("ref").distinct().join(labels.withColumnRenamed("node", "ref"), "ref", "left").select("ref", F.coalesce("label", "ref").alias("comp"))
+    mass = member.groupBy("comp").agg(F.count(F.lit(1)).alias("mass"))
+    member = member.join(mass, "comp").checkpoint()
+    placed = bucketed.select("key", "ref", "size").join(member, "ref").checkpoint()
     mixed = placed.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("key")
-    open_ = placed.join(mixed, "key").filter("size > 2").join(rows.select(F.col("_ref").alias("ref"), F.col("_sig").alias("sig")), "ref")
-    # a large bucket is compared block against block
+    open_ = placed.filter("size > 2").join(mixed, "key").join(rows.select(F.col("_ref").alias("ref"), F.col("_sig").alias("sig")), "ref")
+    # a large bucket is compared block against block; a block with itself has
+    # one side, two blocks have their own
     cells = F.ceil(F.col("size") / GRID).cast("int")
     own = F.pmod(F.xxhash64("ref"), cells).cast("int")
-    grid = open_.select("key", "ref", "comp", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("other"))
-    grid = grid.select("key", "ref", "comp", "sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"))
-    # a block against itself has its own cell; against others the sides differ
-    more = grid.groupBy("key", "lo", "hi").applyInArrow(_across(percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti").checkpoint()
-    second = confirmed(more, rows, words, percent).checkpoint()
+    grid = open_.select("key", "ref", "comp", "mass", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("other"))
+    grid = grid.select("key", "ref", "comp", "mass", "sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"))
+    ask = grid.groupBy("key", "lo", "hi").applyInArrow(_across(percent), "ref long, comp long").distinct().checkpoint()
+    asked = ask.groupBy("comp").agg(F.count(F.lit(1)).alias("n_ask")).join(mass, "comp").checkpoint()
+    texts = _squeezed(rows, ask.select("ref").unionAll(member.join(asked.select("comp"), "comp", "left_semi").select("ref")))
+    spread = lambda side, mine, theirs: side.select("comp", "ref", F.pmod(F.xxhash64("ref"), F.ceil(F.col(mine) / GRID)).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col(theirs) / GRID) - 1).cast("int"))).alias("theirs"))
+    askers = spread(ask.join(asked, "comp"), "n_ask", "mass").select("comp", "ref", F.col("theirs").alias("block"), F.col("mine").alias("lot"), F.lit(True).alias("asks"))
+    members = spread(member.drop("mass").join(asked, "comp"), "mass", "n_ask").select("comp", "ref", F.col("mine").alias("block"), F.col("theirs").alias("lot"), F.lit(False).alias("asks"))
+    second = askers.unionAll(members).join(texts, "ref").groupBy("comp", "block", "lot").applyInArrow(_indexed(words, percent), "a long, b long").distinct().checkpoint()
     final = components(first.unionAll(second))
     comp = classes.join(final.select(F.col("node").alias("_rep"), F.col("label").alias("_comp")), "_rep", "left").select("_h1", "_h2", "_n", F.coalesce("_comp", "_rep").alias("_comp"))
     return rows.drop("_keys", "_sig").join(comp, ["_h1", "_h2", "_n"], "left").withColumn("_comp", F.coalesce("_comp", "_ref")).drop("_h1", "_h2")
