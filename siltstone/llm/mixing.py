@@ -21,6 +21,8 @@ AXES = ("source", "lang", "topic")
 TEMPER = {"source": 0.7, "lang": 0.6, "topic": 0.8}
 ROUNDS = 60
 SEED = "mix"
+#: Cells (about 100 bytes each) up to which the table is broadcast.
+BROADCAST_CELLS = 20_000
 SPLIT = "[ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -60,13 +62,11 @@ def _rake_frames(cells: DataFrame, targets: DataFrame, rounds: int) -> DataFrame
     """The same over DataFrames. targets: axis, value, share."""
     whole = cells.agg(F.sum("tokens").alias("_t"))
     w = cells.crossJoin(F.broadcast(whole)).withColumn("weight", F.col("tokens") / F.col("_t")).drop("_t")  # one row
-    for k in range(rounds):
+    for _ in range(rounds):
         for axis in AXES:
             share = targets.filter(F.col("axis") == axis).select(F.col("value").alias(axis), "share")
-            now = w.groupBy(axis).agg(F.sum("weight").alias("_now")).join(share, axis)
-            w = w.join(now, axis).withColumn("weight", F.when(F.col("_now") > 0, F.col("weight") * F.col("share") / F.col("_now")).otherwise(0.0)).drop("_now", "share")
-        if k % 4 == 3:
-            w = w.checkpoint()
+            now = w.groupBy(axis).agg(F.sum("weight").alias("_now")).join(share, axis, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+            w = w.join(now, axis).withColumn("weight", F.when(F.col("_now") > 0, F.col("weight") * F.col("share") / F.col("_now")).otherwise(0.0)).drop("_now", "share").checkpoint()  # read twice in the next step
     return w
 
 
@@ -98,7 +98,9 @@ def calibrated(docs: DataFrame, targets: dict | None = None, temper: dict = TEMP
         w = rake(keys, tokens, shares, rounds)
         ratio = np.divide(w, tokens, out=np.zeros_like(w), where=tokens > 0)
         scale = budget if budget is not None else 1 / ratio.max()
-        return spark.createDataFrame([(*r, float(p)) for r, p in zip(rows, ratio * scale)], schema)
+        out = spark.createDataFrame([(*r, float(p)) for r, p in zip(rows, ratio * scale)], schema)
+        # few enough to send to every executor instead of shuffling the texts
+        return out.hint("broadcast") if len(rows) <= BROADCAST_CELLS else out
     goals = []
     for axis in AXES:
         if (targets or {}).get(axis):
@@ -126,7 +128,6 @@ def mix(docs: DataFrame, topic: Column | None = None, seed: str = SEED, **params
     narrow = docs.select(axes[0].alias("source"), axes[1].alias("lang"), axes[2].alias("topic"), word_count(text).alias("tokens"))
     cells = calibrated(narrow, **params).select(F.struct(*AXES).alias("_cell"), "probability")
     draw = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 256), 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
-    # cells are bounded by max_cells on the main path; Spark broadcasts them by their checked size
     joined = keyed.withColumn("_cell", F.struct(axes[0].alias("source"), axes[1].alias("lang"), F.col("mix_topic").alias("topic"))).join(cells, "_cell", "left").drop("_cell")
     whole = F.floor(F.col("probability"))
     return joined.withColumn("copies", (whole + F.when(draw < F.col("probability") - whole, 1).otherwise(0)).cast("int"))

@@ -40,8 +40,8 @@ def test_mix(spark):
     assert len(got) == len(rows) and got.copies.max() <= 1 and (got.probability <= 1 + 1e-9).all()
     expected = got.assign(w=got.probability * got.mix_tokens).groupby("lang").w.sum()
     assert abs(expected["en"] / expected.sum() - 0.5) < 1e-6
-    frames = mixing.calibrated(out.selectExpr("coalesce(source, '') source", "coalesce(lang, '') lang", "mix_topic topic", "mix_tokens tokens"), targets={"lang": {"en": 0.5, "de": 0.5}}, rounds=4, max_cells=0).toPandas()
-    driver = mixing.calibrated(out.selectExpr("coalesce(source, '') source", "coalesce(lang, '') lang", "mix_topic topic", "mix_tokens tokens"), targets={"lang": {"en": 0.5, "de": 0.5}}, rounds=4).toPandas()
+    frames = mixing.calibrated(out.selectExpr("coalesce(source, '') source", "coalesce(lang, '') lang", "mix_topic topic", "mix_tokens tokens"), targets={"lang": {"en": 0.5, "de": 0.5}}, rounds=2, max_cells=0).toPandas()
+    driver = mixing.calibrated(out.selectExpr("coalesce(source, '') source", "coalesce(lang, '') lang", "mix_topic topic", "mix_tokens tokens"), targets={"lang": {"en": 0.5, "de": 0.5}}, rounds=2).toPandas()
     both = frames.merge(driver, on=["source", "lang", "topic"])
     assert len(both) == len(driver) and np.allclose(both.probability_x, both.probability_y)
     assert mixing.sampled(df).columns == df.columns

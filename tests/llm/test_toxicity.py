@@ -1,3 +1,5 @@
+import random
+
 from siltstone.llm import toxicity as X
 
 
@@ -30,10 +32,12 @@ def test_composition_equals_cascade():
 
 
 def test_learns_and_holds_out(spark):
-    docs, labels = [], []
+    # texts differ, as near copies would be collapsed before words are counted
+    rng, docs, labels = random.Random(2), [], []
     for i in range(600):
         bad = i % 6 == 0
-        docs.append((i, f"lorem word{i % 7} ipsum " + ("zorgle you zorgle" if bad else "dolor sit")))
+        words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(12)]
+        docs.append((i, " ".join(words) + (" zorgle you zorgle" if bad else " dolor sit")))
         labels.append((i, int(bad)))
     docs += [(9000, None), (9001, ""), (None, "zorgle")]
     d = spark.createDataFrame(docs, "doc_id long, text string")
