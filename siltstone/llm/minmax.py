@@ -254,10 +254,10 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` of which one of each component stays: that of the
     least doc_id, of equal ids the one read first; null ids come last."""
-    clash = {c: f"_own_{k}" for k, c in enumerate(docs.columns) if c in {"_ref", "_n", "_h1", "_h2", "_keys", "_sig", "_comp"}}
+    clash = {c: f"_{'own' * (1 + max(map(len, docs.columns)))}_{k}" for k, c in enumerate(docs.columns) if c in {"_ref", "_n", "_h1", "_h2", "_keys", "_sig", "_comp"}}
     rows = labelled(docs.withColumnsRenamed(clash), words, percent)
     least = rows.groupBy("_comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("_ref").alias("r"))).alias("_m")).select("_comp", F.col("_m.r").alias("_ref"))
-    return rows.join(least, ["_comp", "_ref"], "left_semi").withColumnsRenamed({v: k for k, v in clash.items()}).select(*docs.columns)
+    return rows.join(least, ["_comp", "_ref"], "left_semi").select(*[clash.get(c, c) for c in docs.columns]).toDF(*docs.columns)
 
 
 def op9_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
