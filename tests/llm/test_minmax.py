@@ -66,3 +66,11 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)]
     out = {r[0]: r[1] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert out == {i: 0 for i in range(41)} | {k: 100 for k in range(100, 140)}
+
+
+def test_components_of_long_shuffled_paths(spark):
+    """More nodes in any order than a fixed number of rounds reaches."""
+    order = random.Random(3).sample(range(1500), 1500)
+    links = list(zip(order, order[1:])) + [(2000, 2001)]
+    out = {r[0]: r[1] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert out == {i: 0 for i in range(1500)} | {2000: 2000, 2001: 2000}
