@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,18 +92,30 @@ def paired_bootstrap(differences: DataFrame, column: str, seed: int, replicates:
     """The 2.5th and 97.5th percentile of resampled means of -1, 0 and 1.
 
     Only the counts of the differences and their seeded order matter, so the
-    vector of one integer an evaluated item is what the driver receives; the
-    replicates draw from Python's generator in its order."""
-    values = [r[0] for r in differences.orderBy("id").select(F.col(column).cast("int")).toLocalIterator()]
-    rng, n = random.Random(seed), len(values)
-    means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(replicates))
+    vector of one integer an evaluated item is what the driver receives. The
+    replicates draw what ``random.Random(seed).randrange`` would, in its order:
+    the high bits of the generator's words, those out of range passed over."""
+    values = np.array([r[0] for r in differences.orderBy("id").select(F.col(column).cast("int")).toLocalIterator()], np.int64)
+    n = len(values)
+    state = random.Random(seed).getstate()[1]
+    words = np.random.MT19937()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    shift = np.uint64(32 - n.bit_length())
+    sums, left = [], np.zeros(0, np.int64)
+    while len(sums) < replicates:
+        drawn = words.random_raw(1 << 20) >> shift
+        left = np.concatenate([left, values[drawn[drawn < n].astype(np.int64)]])
+        whole = len(left) // n
+        sums += left[:whole * n].reshape(whole, n).sum(1).tolist()
+        left = left[whole * n:]
+    means = sorted(s / n for s in sums[:replicates])
 
     def point(p: float) -> float:
         at = p * (len(means) - 1)
         low = int(at)
-        return means[low] + (means[min(low + 1, len(means) - 1)] - means[low]) * (at - low)
+        return means[low] * (1.0 - (at - low)) + means[min(low + 1, len(means) - 1)] * (at - low)
 
-    return differences.sparkSession.createDataFrame([(n, sum(values) / n, point(0.025), point(0.975))], "n int, mean double, low double, high double")
+    return differences.sparkSession.createDataFrame([(n, int(values.sum()) / n, point(0.025), point(0.975))], "n int, mean double, low double, high double")
 
 
 def reward_groups(rows: DataFrame, group: str, reward: str, completion: str) -> DataFrame:

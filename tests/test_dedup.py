@@ -45,3 +45,27 @@ def test_zero_cases(spark):
     assert stats.standardized_difference(df, "v", "arm", 0, 1).first()[0] == float("inf")
     assert df.select(stats.wilson_lower(F.lit(0), F.lit(0))).first()[0] == 0.0
     assert df.limit(0).agg(stats.rate(F.count_if(F.lit(True)), F.count(F.lit(1)))).first()[0] is None
+
+
+def test_bootstrap_against_the_reference_rule(spark):
+    from siltstone.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    got = registry.QUERIES["a16_bootstrap"](spark, sf).first()
+    keys = [r[0] for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").orderBy("s_suppkey").collect()]
+    values = [int(k % 5 < 2) - int(k % 3 == 0) for k in keys]
+    rng, n = random.Random(20260720), len(values)
+    means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(10_000))
+
+    def point(p):
+        at = p * (len(means) - 1)
+        low = int(at)
+        return means[low] * (1.0 - (at - low)) + means[low + 1] * (at - low)
+
+    assert (got["n"], got["low"], got["high"]) == (n, point(0.025), point(0.975))
+    # a count of 1,000 draws, more than a block holds for all replicates
+    many = spark.range(1000).select("id", (F.col("id") % 3 - 1).cast("int").alias("d"))
+    rng = random.Random(5)
+    few = sorted(sum(rng.randrange(1000) % 3 - 1 for _ in range(1000)) / 1000 for _ in range(3001))
+    out = stats.paired_bootstrap(many, "d", 5, 3001).first()
+    assert (out["low"], out["high"]) == (few[75], few[2925])
