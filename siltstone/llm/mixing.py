@@ -20,6 +20,8 @@ AXES = ("source", "lang", "topic")
 #: Tempering exponents of the tokens of each source, language and topic.
 TEMPER = {"source": 0.7, "lang": 0.6, "topic": 0.8}
 ROUNDS = 60
+#: Tokens expected out for one token in, at most, before cells are set to one copy.
+GROWTH = 2.0
 SEED = "mix"
 #: Cells (about 100 bytes each) up to which the table is broadcast.
 BROADCAST_CELLS = 20_000
@@ -70,12 +72,16 @@ def _rake_frames(cells: DataFrame, targets: DataFrame, rounds: int) -> DataFrame
     return w
 
 
-def calibrated(docs: DataFrame, targets: dict | None = None, temper: dict = TEMPER, budget: float | None = None, rounds: int = ROUNDS, max_cells: int = 200_000) -> DataFrame:
+def calibrated(docs: DataFrame, targets: dict | None = None, temper: dict = TEMPER, budget: float | None = None, rounds: int = ROUNDS, max_cells: int = 200_000, whole: bool = False) -> DataFrame:
     """source, lang, topic, cell_tokens, probability (expected copies of each
     document of the cell) from a frame of AXES and ``tokens``. ``targets`` maps
     an axis to {value: share}; other axes are tempered by ``temper``. Without a
     ``budget`` of tokens the scale is the largest at which no document is
-    expected more than once."""
+    expected more than once. With ``whole`` every document is expected at least
+    once: the scale is the least that gives all cells of positive weight this,
+    up to GROWTH times the input's tokens; cells still under one copy, as under
+    targets that no weights meet, are set to one, and so are cells without
+    words."""
     spark = docs.sparkSession
     shared_dir(spark)
     cells = docs.groupBy(*AXES).agg(F.sum("tokens").alias("tokens")).checkpoint()
@@ -84,7 +90,7 @@ def calibrated(docs: DataFrame, targets: dict | None = None, temper: dict = TEMP
         rows = sorted(tuple(r) for r in cells.collect())
         tokens = np.array([r[3] for r in rows], float)
         if not tokens.sum():
-            return spark.createDataFrame([(*r, 0.0) for r in rows], schema)
+            return spark.createDataFrame([(*r, 1.0 if whole else 0.0) for r in rows], schema)
         keys, shares = [], []
         for i, axis in enumerate(AXES):
             values = sorted({r[i] for r in rows})
@@ -97,8 +103,11 @@ def calibrated(docs: DataFrame, targets: dict | None = None, temper: dict = TEMP
             shares.append(share / share.sum())
         w = rake(keys, tokens, shares, rounds)
         ratio = np.divide(w, tokens, out=np.zeros_like(w), where=tokens > 0)
-        scale = budget if budget is not None else 1 / ratio.max()
-        out = spark.createDataFrame([(*r, float(p)) for r, p in zip(rows, ratio * scale)], schema)
+        if whole:
+            copies = np.maximum(ratio * min(1 / ratio[ratio > 0].min(), GROWTH * tokens.sum()), 1.0)
+        else:
+            copies = ratio * (budget if budget is not None else 1 / ratio.max())
+        out = spark.createDataFrame([(*r, float(p)) for r, p in zip(rows, copies)], schema)
         # few enough to send to every executor instead of shuffling the texts
         return out.hint("broadcast") if len(rows) <= BROADCAST_CELLS else out
     goals = []
@@ -109,6 +118,10 @@ def calibrated(docs: DataFrame, targets: dict | None = None, temper: dict = TEMP
             power = cells.groupBy(axis).agg(F.sum("tokens").alias("t")).select(F.lit(axis).alias("axis"), F.col(axis).alias("value"), F.pow(F.col("t"), F.lit(temper[axis])).alias("p"))
             goals.append(power.crossJoin(F.broadcast(power.agg(F.sum("p").alias("_s")))).select("axis", "value", (F.col("p") / F.col("_s")).alias("share")))
     raked = _rake_frames(cells, goals[0].unionByName(goals[1]).unionByName(goals[2]).checkpoint(), rounds).withColumn("_r", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)).checkpoint()
+    if whole:
+        least, tokens = raked.agg(F.min(F.when(F.col("_r") > 0, F.col("_r"))), F.sum("tokens")).first()
+        copies = F.greatest(F.coalesce("_r", F.lit(0.0)) * F.lit(float(min(1 / least, GROWTH * tokens)) if least else 1.0), F.lit(1.0))
+        return raked.select(*AXES, F.col("tokens").alias("cell_tokens"), copies.alias("probability"))
     scale = F.lit(float(budget)) if budget is not None else F.lit(1.0) / F.lit(raked.agg(F.max("_r")).first()[0])
     return raked.select(*AXES, F.col("tokens").alias("cell_tokens"), (F.col("_r") * scale).alias("probability"))
 

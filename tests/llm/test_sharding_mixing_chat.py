@@ -48,6 +48,19 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_stage_keeps_every_document(spark):
+    import corpus_pipeline
+
+    rows = [(i, "some words " * (5 + i % 9), "en" if i % 5 else "de", f"s{i % 3}") for i in range(600)]
+    rows += [(900, "Licensed under one rare term", "es", "s18"), (901, "", "en", "s1"), (902, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"] for r in corpus_pipeline._mixed(spark, df, "").collect()} == {r[0] for r in rows}
+    cells = df.selectExpr("coalesce(source, '') source", "coalesce(lang, '') lang", "'x' topic", "length(text) tokens").fillna(0)
+    both = [mixing.calibrated(cells, rounds=2, whole=True, max_cells=m).toPandas() for m in (0, 1000)]
+    both = both[0].merge(both[1], on=["source", "lang", "topic"])
+    assert len(both) and np.allclose(both.probability_x, both.probability_y) and both.probability_x.min() == 1
+
+
 def test_word_count(spark):
     texts = ["", " ", "a", " a b ", "\ta\n\nb\x0bc", "é\xa0b", None, "x " * 500]
     from pyspark.sql import functions as F
