@@ -69,3 +69,14 @@ def test_bootstrap_against_the_reference_rule(spark):
     few = sorted(sum(rng.randrange(1000) % 3 - 1 for _ in range(1000)) / 1000 for _ in range(3001))
     out = stats.paired_bootstrap(many, "d", 5, 3001).first()
     assert (out["low"], out["high"]) == (few[75], few[2925])
+
+
+def test_containment_of_short_texts(spark, tmp_path):
+    from siltstone.plans import registry
+
+    docs = [(1, "One two three, four."), (2, "so one two"), (3, None), (4, "a zq7000 b zq9 c")]
+    items = [(i, f"zq{i}") for i in range(12_000)] + [(20_000, "two three, fo"), (20_001, "e t"), (20_002, "a zq7000 b"), (20_003, None), (20_004, "b zq9 c d")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(tuple(r) for r in registry.QUERIES["j5_containment"](spark, str(tmp_path)).collect())
+    assert got == sorted((d, i) for d, x in docs for i, b in items if x and b and b in x)
