@@ -2,20 +2,31 @@
 
 The corpus is cut into reference blocks of whole documents, written once as
 Arrow batches. The index of all blocks maps every window of ``span`` words that
-occurs at two or more places to one of them. Each document is then factored
-greedily: a factor starts at a window the index knows and is extended while the
-next window continues the same place of the same block; at every factor boundary
-the windows that cross it are looked up as well, so no repeated window is lost
-to the greedy choice. A factor is at least ``span`` words long and becomes a
-duplicate span.
+occurs at two or more places to its places, one a block; a window's reference is
+the nearest place before it (for the first place the one after). Each document is
+then factored greedily against the referenced blocks: a factor begins at the first
+known window that no factor holds yet and runs on along its reference as long as
+the referenced text goes on alike, whichever places the index would name for the
+windows it passes. Where it ends, the windows that cross its end are looked up:
+the first known one begins the next factor. So factors overlap at boundaries, each
+is at least ``span`` words long, and together they cover every window that occurs
+elsewhere; the words of factors are the duplicate spans.
+
+How far a reference runs on is asked of the block that holds it: where the index
+changes its reference inside a run of known windows, the block sends the
+windows that follow (as runs of the index's numbers, LOOKAHEAD of them at most,
+after which a new factor begins) and is told how many agree. A reference to
+the block itself is followed on the spot.
 
 Only windows that can repeat enter the index. Each has an anchor, the least hash
 of its GRAM-word grams, which equal windows share; blocks first send their
 distinct anchors (about one in fifteen words), learn which occur elsewhere, and
 send the windows of these alone. A block sends any anchor or window once,
-whatever its copies, so a passage that a third of all documents hold reaches a
-task only once a block. Messages are packed arrays, in a few rows for each pair
-of block and index partition; texts move to them by the block's number.
+whatever its copies, and is asked by its neighbours in the order of blocks only,
+so a passage that a third of all documents hold reaches a task only once a block.
+Messages are packed arrays, in a few rows for each pair of block and index
+partition; texts move to them by the block's number. Windows are compared by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -34,6 +45,8 @@ from siltstone.llm.common import Texts, Words, mix64, partitions, seeds, table,
 SPAN = 35
 GRAM = 8
 BLOCK_BYTES = 3 << 20
+#: Changes of group in a run of windows over which one factor may reach.
+LOOKAHEAD = 256
 
 
 def _codec(data: bytes) -> bytes:
@@ -150,32 +163,144 @@ def _deal(block: int, part: np.ndarray, parts: int, pack) -> pa.RecordBatch:
 
 
 _MESSAGE = "part int, block long, data binary"
-_ANSWER = "block long, data binary"
+_ANSWER = "block long, kind int, data binary"
 
 
-def _answers(found: dict[int, bytes]) -> pa.Table:
-    return pa.table({"block": pa.array(list(found), pa.int64()), "data": pa.array(list(found.values()), pa.binary())})
+def _answers(found: dict[int, bytes], kind: int = 0) -> pa.Table:
+    return pa.table({"block": pa.array(list(found), pa.int64()), "kind": pa.array([kind] * len(found), pa.int32()), "data": pa.array(list(found.values()), pa.binary())})
 
 
-def _pack_runs(at: np.ndarray, ref_block: np.ndarray, ref_at: np.ndarray) -> bytes:
-    """(window, length, reference block, reference word) of runs, compressed."""
-    cut = np.flatnonzero((np.diff(at, prepend=-9) != 1) | (np.diff(ref_block, prepend=-9) != 0) | (np.diff(ref_at, prepend=-9) != 1))
-    size = np.diff(np.append(cut, len(at)))
-    return _codec(np.stack([at[cut], size, ref_block[cut], ref_at[cut]]).astype("<i8").tobytes())
+def _breaks(*columns: np.ndarray, steady: tuple = ()) -> np.ndarray:
+    """Where runs begin: ``steady`` columns change, or others do not go up by one."""
+    cut = np.zeros(len(columns[0]), bool)
+    cut[:1] = True
+    for c in columns:
+        cut[1:] |= np.diff(c) != 1
+    for c in steady:
+        cut[1:] |= np.diff(c) != 0
+    return np.flatnonzero(cut)
 
 
-def _unpack_runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at, size, block, ref = np.frombuffer(_plain(data), "<i8").reshape(4, -1)
-    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    return np.repeat(at, size) + step, np.repeat(block, size), np.repeat(ref, size) + step
+def _pack_runs(at, group_block, group_at, ref_block, ref_at) -> bytes:
+    """Runs of known windows: (first word, windows, group, reference), compressed.
+    A window's group is named by its first place; no reference is block -1."""
+    cut = _breaks(at, group_at, ref_at, steady=(group_block, ref_block))
+    size = np.diff(np.append(cut, len(at)))
+    return _codec(np.stack([at[cut], size, group_block[cut], group_at[cut], ref_block[cut], ref_at[cut]]).astype("<i8").tobytes())
 
 
-def factors(at: np.ndarray, ref_block: np.ndarray, ref_at: np.ndarray, span: int) -> np.ndarray:
-    """Greedy factors (first word, words, reference block, reference word) from
-    the known windows, by their first word ascending."""
-    cut = np.flatnonzero((np.diff(at, prepend=-9) != 1) | (np.diff(ref_block, prepend=-9) != 0) | (np.diff(ref_at, prepend=-9) != 1))
-    size = np.diff(np.append(cut, len(at)))
-    return np.stack([at[cut], size + span - 1, ref_block[cut], ref_at[cut]], 1) if len(at) else np.zeros((0, 4), np.int64)
+def _unpack_runs(data: bytes) -> tuple[np.ndarray, ...]:
+    at, size, gb, ga, rb, ra = np.frombuffer(_plain(data), "<i8").reshape(6, -1)
+    step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(at, size) + step, np.repeat(gb, size), np.repeat(ga, size) + step, np.repeat(rb, size), np.repeat(ra, size) + step
+
+
+class Parse:
+    """What the index knows of a block's windows, and the block's factors."""
+
+    def __init__(self, block: Block, number: int, known: list[bytes]):
+        self.block, self.number = block, number
+        n = len(block.starts)
+        #: of each window its group (block -1: not known) and its reference
+        self.gb, self.ga, self.rb, self.ra = (np.full(n, -1, np.int64) for _ in range(4))
+        self.here = np.zeros(0, np.int64)
+        if not known:
+            return
+        at, gb, ga, rb, ra = map(np.concatenate, zip(*map(_unpack_runs, known)))
+        window = block.windows()
+        index = np.searchsorted(block.starts, at)
+        order = np.argsort(window[index])
+        value = window[index][order]
+        here = np.flatnonzero(_in(window, value))
+        pick = order[np.searchsorted(value, window[here])]
+        self.here, self.gb[here], self.ga[here] = here, gb[pick], ga[pick]
+        # places of the same window in this block: the one before is the reference
+        by = here[np.lexsort((here, window[here]))]
+        same = np.zeros(len(by), bool)
+        same[1:] = window[by[1:]] == window[by[:-1]]
+        self.rb[index], self.ra[index] = rb, ra
+        later = by[same]
+        self.rb[later], self.ra[later] = number, block.starts[by[np.flatnonzero(same) - 1]]
+        alone = by[:-1][~same[:-1] & same[1:]]  # first of several here
+        alone = alone[self.rb[alone] < 0]
+        after = by[np.searchsorted(window[by], window[alone], "left") + 1] if len(alone) else alone
+        self.rb[alone], self.ra[alone] = number, block.starts[after]
+        # runs of known windows, and of consecutive references in them
+        word = block.starts[here]
+        self.runs = here[_breaks(here, word)]
+        self.parts = here[_breaks(here, word, self.ra[here], steady=(self.rb[here],))]
+        ends = self._ends(self.parts)
+        self.run_end = self._ends(self.runs)[np.searchsorted(self.runs, self.parts, "right") - 1]
+        #: how far the reference of each part runs on (window after the last)
+        self.reach = ends.copy()
+        self.open = ends < self.run_end
+        for k in np.flatnonzero(self.open & (self.rb[self.parts] == number)):
+            self.reach[k] += self.agreeing(int(self.ra[self.parts[k]] + ends[k] - self.parts[k]), self.gb[ends[k]:self.run_end[k]], self.ga[ends[k]:self.run_end[k]])
+
+    def _ends(self, begin: np.ndarray) -> np.ndarray:
+        """The window after each run of known windows that ``begin`` starts."""
+        place = np.searchsorted(self.here, begin)
+        return self.here[np.append(place[1:], len(self.here)) - 1] + 1
+
+    def agreeing(self, word: int, gb: np.ndarray, ga: np.ndarray) -> int:
+        """How many of the windows named follow each other here from ``word`` on."""
+        starts = self.block.starts
+        i = int(np.searchsorted(starts, word))
+        done, step = 0, 64
+        while done < len(gb):
+            n = min(step, len(gb) - done, len(starts) - i - done)
+            if n <= 0:
+                break
+            own = slice(i + done, i + done + n)
+            good = (starts[own] == word + done + np.arange(n)) & (self.gb[own] == gb[done:done + n]) & (self.ga[own] == ga[done:done + n])
+            if not good.all():
+                return done + int(np.argmin(good))
+            done, step = done + n, step * 2
+        return done
+
+    def requests(self) -> dict[int, bytes]:
+        """For each other block: (part, word, runs, then the runs of windows
+        that follow) of every part whose reference lies there."""
+        out: dict[int, list[np.ndarray]] = {}
+        for k in np.flatnonzero(self.open & (self.rb[self.parts] != self.number)):
+            begin, end = int(self.reach[k]), int(self.run_end[k])
+            cut = _breaks(self.ga[begin:end], steady=(self.gb[begin:end],))
+            size = np.diff(np.append(cut, end - begin))[:LOOKAHEAD]
+            cut = cut[:LOOKAHEAD]
+            runs = np.stack([size, self.gb[begin + cut], self.ga[begin + cut]], 1).ravel()
+            word = self.ra[self.parts[k]] + begin - self.parts[k]
+            out.setdefault(int(self.rb[self.parts[k]]), []).append(np.concatenate([[k, word, len(size)], runs]))
+        head = np.array([self.number], np.int64)
+        return {b: _codec(np.concatenate([head, *v]).astype("<i8").tobytes()) for b, v in out.items()}
+
+    def reply(self, asked: bytes) -> tuple[int, bytes]:
+        """(asking block, (part, windows that agree) of each of its requests)."""
+        flat = np.frombuffer(_plain(asked), "<i8")
+        i, out = 1, []
+        while i < len(flat):
+            k, word, n = flat[i:i + 3].tolist()
+            size, gb, ga = flat[i + 3:i + 3 + 3 * n].reshape(n, 3).T
+            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            out += [k, self.agreeing(word, np.repeat(gb, size), np.repeat(ga, size) + step)]
+            i += 3 + 3 * n
+        return int(flat[0]), np.array(out, "<i8").tobytes()
+
+    def factors(self, replies: list[bytes]) -> np.ndarray:
+        """Greedy factors: first word, words, reference block, reference word."""
+        if not len(self.here):
+            return np.zeros((0, 4), np.int64)
+        for data in replies:
+            part, more = np.frombuffer(data, "<i8").reshape(-1, 2).T
+            self.reach[part] += more
+        starts, found, i, last = self.block.starts, [], 0, len(self.here)
+        while i < last:
+            window = self.here[i]
+            k = int(np.searchsorted(self.parts, window, "right")) - 1
+            end = int(self.reach[k])
+            found.append((starts[window], end - window + self.block.span - 1, self.rb[window], self.ra[window]))
+            # the windows that cross this factor's end, then those beyond it
+            i = int(np.searchsorted(self.here, end))
+        return np.array(found, np.int64)
 
 
 def parsed(docs: DataFrame, span: int, finish, schema) -> DataFrame:
@@ -245,45 +370,60 @@ def parsed(docs: DataFrame, span: int, finish, schema) -> DataFrame:
             source.append(np.full(n, number))
         h, at, many, block = map(np.concatenate, (hashes, places, several, source))
         order = np.lexsort((at, block, h))
-        h, at, many, block = h[order], at[order], many[order], block[order]
+        h, at, many, block = h[order], at[order].astype(np.int64), many[order], block[order]
         new = np.concatenate([[True], h[1:] != h[:-1]])
         begin = np.flatnonzero(new)
-        size = np.diff(np.append(begin, len(h)))
-        group = np.repeat(np.arange(len(begin)), size)
-        wanted = (size[group] > 1) | many
-        # the reference is the group's first place, for the first the second
-        ref = begin[group]
-        ref = np.where(new & (size[group] > 1), np.minimum(ref + 1, len(h) - 1), ref)
-        at_w, block_w, rb, ra = at[wanted], block[wanted], block[ref][wanted], at[ref][wanted]
-        order = np.lexsort((at_w, block_w))
-        at_w, block_w, rb, ra = at_w[order], block_w[order], rb[order], ra[order]
-        cut = np.flatnonzero(np.diff(block_w, prepend=-1))
-        ends = np.append(cut[1:], len(block_w))
-        return _answers({int(block_w[a]): _pack_runs(at_w[a:b], rb[a:b], ra[a:b]) for a, b in zip(cut, ends)})
-
-    known = stored.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_windows, _MESSAGE).groupBy("part").applyInArrow(meet_windows, _ANSWER)
+        size = np.repeat(np.diff(np.append(begin, len(h))), np.diff(np.append(begin, len(h))))
+        first = np.repeat(begin, np.diff(np.append(begin, len(h))))
+        # the place before; for the first the one after, if there is one
+        place = np.arange(len(h))
+        ref = np.minimum(np.where(new, place + 1, place - 1), len(h) - 1)
+        rb = np.where(size > 1, block[ref], -1)
+        ra = np.where(size > 1, at[ref], at)
+        keep = np.flatnonzero((size > 1) | many)
+        keep = keep[np.lexsort((at[keep], block[keep]))]
+        own = block[keep]
+        cut = np.flatnonzero(np.diff(own, prepend=-1))
+        ends = np.append(cut[1:], len(own))
+        pack = lambda i: _pack_runs(at[i], block[first[i]], at[first[i]], rb[i], ra[i])
+        return _answers({int(own[a]): pack(keep[a:b]) for a, b in zip(cut, ends)})
+
+    # read by three stages below
+    known = written(stored.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_windows, _MESSAGE).groupBy("part").applyInArrow(meet_windows, _ANSWER), "known")
+
+    def each(left: pa.Table, right: pa.Table, kinds: tuple[int, ...]):
+        """(number, rows, messages of each kind) of the block of a cogroup."""
+        kind, data = right.column("kind").to_pylist(), right.column("data").to_pylist()
+        own = [[d for k, d in zip(kind, data) if k == wanted] for wanted in kinds]
+        for number, rows in zip(left.column("block").to_pylist(), left.column("rows").to_pylist()):
+            yield number, rows, *own
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {}
+        for number, rows, told in each(left, right, (0,)):
+            if told:
+                out |= Parse(Block(rows, span), number, told).requests()
+        return _answers(out, 1)
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {}
+        for number, rows, told, asked in each(left, right, (0, 1)):
+            if asked:
+                parse = Parse(Block(rows, span), number, told)
+                out |= dict(map(parse.reply, asked))
+        return _answers(out, 2)
 
     def factor(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for number, rows in zip(left.column("block").to_pylist(), left.column("rows").to_pylist()):
+        for number, rows, told, replies in each(left, right, (0, 2)):
             block = Block(rows, span)
-            got = [_unpack_runs(d) for d in right.column("data").to_pylist()]
-            if got:
-                at, rb, ra = map(np.concatenate, zip(*got))
-                # the block's other places of the same windows
-                window = block.windows()
-                index = np.searchsorted(block.starts, at)
-                order = np.argsort(window[index])
-                value = window[index][order]
-                here = np.flatnonzero(_in(window, value))
-                pick = order[np.searchsorted(value, window[here])]
-                found = factors(block.starts[here], rb[pick], ra[pick], span)
-            else:
-                found = np.zeros((0, 4), np.int64)
-            out.append(finish(block, number, found))
+            out.append(finish(block, number, Parse(block, number, told).factors(replies)))
         return pa.concat_tables(out)
 
-    return stored.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(factor, schema)
+    blocks = stored.groupBy("block")
+    asked = blocks.cogroup(known.groupBy("block")).applyInArrow(ask, _ANSWER)
+    replies = blocks.cogroup(known.unionAll(asked).groupBy("block")).applyInArrow(answer, _ANSWER)
+    return blocks.cogroup(known.unionAll(replies).groupBy("block")).applyInArrow(factor, schema)
 
 
 def _removed(block: Block, found: np.ndarray) -> np.ndarray:
@@ -308,7 +448,12 @@ def _spread(block: Block, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def digests(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, n_factors."""
+    """doc_id, n_words, n_removed, kept_sha256, n_factors.
+
+    A null text has no words, so nothing to remove; a text of fewer than ``span``
+    words loses nothing, whatever its length a longer one is read whole; of rows
+    that repeat, and texts that occur twice, all windows go on every side. Other
+    columns are ignored, so names in them cannot clash; no rows give none."""
     def finish(block, number, found):
         gone = _removed(block, found)
         kept = np.flatnonzero(~gone)
