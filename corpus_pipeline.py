@@ -10,14 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import byte_bpe, minmax, mixing, substring_dedup, toxicity
-from siltstone.llm.common import fresh_path
-
+from siltstone.llm.common import drop_path, fresh_path
 
 #: Milder than op3's, so that few documents are repeated; none is dropped.
 TEMPER = {"source": 0.9, "lang": 0.9, "topic": 0.95}
 
 
 def _mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, those of rare cells as several equal rows.
+
+    Null sources and languages are a value of their own; null and empty texts
+    have no words and stay once; rows that repeat an id get the same draw; an
+    empty table gives no rows; a very long text counts by its words."""
     return mixing.sampled(docs, temper=TEMPER, whole=True)
 
 
@@ -36,10 +40,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``; each result is written as Parquet in the
-    shared folder and read again as the next stage's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    shared folder and read again as the next stage's input, whose own input is
+    then deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         out = fresh_path(spark, "stage-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+        if before:
+            drop_path(spark, before)
+        docs, before = spark.read.parquet(out), out
     return docs

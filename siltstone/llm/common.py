@@ -27,10 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or, where that
-    is unset (tests on one machine), a fresh local one that is then set."""
+    is unset and the session runs on one machine (tests), a fresh local one that
+    is then set. On a cluster without one it raises: other machines would not see
+    a local folder."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not (sc.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
@@ -38,7 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when the session's JVM ends: a
+    lazy result may be read until then."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes what was written at ``path``."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(df: DataFrame, kind: str, codec: str = "zstd") -> DataFrame:
@@ -50,14 +65,6 @@ def written(df: DataFrame, kind: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files behind a table made by ``written``."""
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -203,7 +210,7 @@ def shingle_hashes(words: Words, k: int, short: bool = True) -> tuple[np.ndarray
 
 def ordered_by_id(docs: DataFrame, parts: int, lookahead: bool) -> DataFrame:
     """(bucket, ord, doc_id, text, ahead): every row of ``docs`` dealt to
-    ``parts`` ranges of doc_id of near equal bytes and sorted within; null ids
+    ``parts`` ranges of doc_id of near equal rows and sorted within; null ids
     come first, equal ids are ordered by text. With ``lookahead`` the first rows
     of each range are also given, marked ``ahead``, to the range before it.
 

@@ -5,7 +5,7 @@ the rest its value, of which a bin keeps the least. Empty bins are filled by
 optimal densification: bin i tries the bins h(i, 1), h(i, 2), ... of a 2-universal
 hash and takes the first that is not empty, so every filled bin is an unbiased
 sample with the least variance. A fingerprint is the low-order bits of all bins,
-packed; the share of equal bins is corrected for chance agreement.
+hashed with the bin's number and packed; the share of equal bins is corrected for chance agreement.
 """
 
 from __future__ import annotations
@@ -47,8 +47,14 @@ def bins_of(texts: Texts, bins: int = BINS, words: int = WORDS) -> tuple[np.ndar
 
 
 def pack(values: np.ndarray, full: np.ndarray, bits: int = BITS) -> list[bytes]:
-    """The low-order bits of each bin, packed; b'' for a text without words."""
-    low = (mix64(values) & np.uint64(2**bits - 1)).astype(np.uint8)
+    """The low-order bits of each bin, packed; b'' for a text without words.
+
+    The bits are taken after the bin's number is mixed in: bins that were filled
+    with one value then agree by chance independently, as the correction of
+    ``likeness`` supposes, however few shingles a text has."""
+    with np.errstate(over="ignore"):
+        own = mix64(np.arange(values.shape[1], dtype=np.uint64))
+        low = (mix64(values ^ own) & np.uint64(2**bits - 1)).astype(np.uint8)
     each = 8 // bits
     packed = np.zeros((len(values), values.shape[1] // each), np.uint8)
     for k in range(each):

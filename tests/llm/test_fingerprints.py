@@ -32,6 +32,54 @@ def test_small_texts():
     assert P.likeness(m[0], m[1]) == 1 and P.likeness(m[0], m[2]) == 0 and P.likeness(m[2], m[4]) == 1
 
 
+def test_small_sets_are_unbiased():
+    """Texts of few shingles: densification repeats values in many bins."""
+    random.seed(8)
+    error = []
+    for _ in range(300):
+        n, kept = random.randint(1, 9), random.random()
+        words = [f"w{random.randint(0, 10**6)}" for _ in range(n + 4)]
+        other = [w if random.random() < kept ** 0.2 else "v" + w for w in words]
+        x, y = " ".join(words), " ".join(other)
+        m = P.fingerprints(Texts.of_list([x.encode(), y.encode()]))
+        error.append((P.likeness(*m), len(_set(x) & _set(y)) / len(_set(x) | _set(y))))
+    gap = np.array([a - b for a, b in error])
+    apart = np.array([a for a, b in error if b == 0])
+    assert len(apart) > 30 and np.sqrt((apart**2).mean()) < 0.06
+    assert abs(gap.mean()) < 0.03
+
+
+def _plain_mark(text):
+    """A fingerprint value by value, without arrays."""
+    shingles = _set(text)
+    if not shingles:
+        return ""
+    data = Texts.of_list([text.encode()])
+    hashes, _ = P.shingle_hashes(P.Words(data), 5)
+    bins = {}
+    for h in map(int, hashes):
+        bins[h >> 55] = min(bins.get(h >> 55, 2**64), h & (2**55 - 1))
+    filled = dict(bins)
+    mix = lambda x: int(P.mix64(np.array([x % 2**64], np.uint64))[0])
+    for place in range(512):
+        attempt = 1
+        while place not in filled:
+            donor = mix(place * 0x9E3779B1 + (attempt << 32)) >> 55
+            if donor in bins:
+                filled[place] = bins[donor]
+            attempt += 1
+    low = [mix(filled[i] ^ mix(i)) & 15 for i in range(512)]
+    return bytes(low[i] | low[i + 1] << 4 for i in range(0, 512, 2)).hex()
+
+
+def test_fingerprints_against_plain_python():
+    texts = ["", "one", "a b c d e f g", " ".join(f"w{i}" for i in range(700)), "x " * 3000]
+    assert [m.hex() for m in P.fingerprints(Texts.of_list([t.encode() for t in texts]))] == [_plain_mark(t) for t in texts]
+    a, b = _plain_mark(texts[2]), _plain_mark("a b c d e f z")
+    equal = sum(x == y for x, y in zip(a, b)) / 512
+    assert P.likeness(bytes.fromhex(a), bytes.fromhex(b)) == max(0.0, (equal - 1 / 16) / (15 / 16))
+
+
 def test_neighbours(spark):
     random.seed(5)
     rows = [(i, " ".join(random.choice("abcdefgh") * 3 for _ in range(random.randint(0, 60)))) for i in range(0, 300, 3)]
