@@ -9,8 +9,12 @@ than "fool", and "not a fool" or "they said 'fool'" less.
 
 Insult terms (whole words and word beginnings) and their weights are learned
 from labelled documents: log odds of document frequencies, kept where a
-likelihood-ratio test and precision allow. Training uses at most ``bound``
-labelled rows, chosen by a hash of the id; terms are counted by the executors.
+likelihood-ratio test and precision allow. How strong the test has to be is chosen
+from LADDER on training folds: each fold is scored by the terms of the others, the
+bound with the fewest wrong decisions is taken (of equals the strictest), and the
+calibration is fitted on these scores, not on those of the rows that chose the
+terms. Training uses at most ``bound`` labelled rows, chosen by a hash of the id;
+terms are counted by the executors, and the sample's bound bounds them.
 """
 
 from __future__ import annotations
@@ -30,10 +34,12 @@ from siltstone.llm.common import Texts, Words, shared_dir, shingle_hashes, table
 #: Bound of the labelled rows used in training.
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.7
-#: A term needs this likelihood ratio, toxic documents, and share of its documents toxic.
-MIN_G2, MIN_DOCS, MIN_PRECISION = 30.0, 5, 0.8
+#: Likelihood ratios a term may need, strictest first, and what it needs of toxic
+#: documents and of its documents' toxic share.
+LADDER = (30.0, 20.0, 15.0, 12.0)
+MIN_DOCS, MIN_PRECISION = 4, 0.8
+FOLDS = 3
 STEMS = range(3, 9)
-MAX_TERMS = 50_000
 
 #: Words that the grammar knows without labels, and the weight of insults and
 #: threats among them.
@@ -185,10 +191,21 @@ def _features(text: str) -> set[str]:
     return out
 
 
-def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
+def likelihood_ratio(t: int, c: int, share: float) -> float:
+    """G2 of a term in t toxic and c clean documents, where ``share`` are toxic."""
+    part = lambda seen, expected: seen * math.log(seen / expected) if seen else 0.0
+    return 2 * (part(t, (t + c) * share) + part(c, (t + c) * (1 - share)))
+
+
+def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int, least: float = 0.0) -> dict[str, float]:
     """Weights of the terms kept among (term, toxic documents, clean documents):
+    those of MIN_DOCS, MIN_PRECISION and the ``least`` likelihood ratio;
     beginnings give way to an extension with nearly as many documents, and what
-    a kept beginning covers is dropped."""
+    a kept beginning covers is dropped. None without toxic or clean documents."""
+    if not toxic or not clean:
+        return {}
+    share = toxic / (toxic + clean)
+    counts = [(f, t, c) for f, t, c in counts if t >= MIN_DOCS and t >= MIN_PRECISION * (t + c) and likelihood_ratio(t, c, share) >= least]
     kept = {f: (t, c) for f, t, c in counts}
     longest: Counter = Counter()
     for f, (t, _) in kept.items():
@@ -242,38 +259,58 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model:
     if rate < 1:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(rate * 1_000_000))
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id").dropna().select("text", "toxic")
-    sample = sample.mapInArrow(_with_least, "text string, toxic int, least long").dropDuplicates(["least", "toxic"]).select("text", "toxic").checkpoint()
+    sample = sample.mapInArrow(_with_least, "text string, toxic int, least long").dropDuplicates(["least", "toxic"]).select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")).checkpoint()
+
+    width = 2 * FOLDS
+    each = [f"n{k}" for k in range(width)]  # toxic and clean documents by fold
 
     def count(batches):
-        seen: dict[str, list[int]] = {}
-        rows = [0, 0]
+        seen: dict[str, list[int]] = {"": [0] * width}
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows[not label] += 1
-                for f in _features(text):
-                    seen.setdefault(f, [0, 0])[not label] += 1
-        yield pa.RecordBatch.from_pydict({"term": ["", *seen], "t": [rows[0], *(v[0] for v in seen.values())], "c": [rows[1], *(v[1] for v in seen.values())]}, schema=pa.schema([("term", pa.string()), ("t", pa.int64()), ("c", pa.int64())]))
-
-    counts = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism).mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).checkpoint()
+            for text, label, fold in zip(*(c.to_pylist() for c in batch.columns)):
+                at = 2 * fold + (not label)
+                for f in {"", *_features(text)}:
+                    seen.setdefault(f, [0] * width)[at] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in range(width))], ["term", *each])
+
+    cores = sample.sparkSession.sparkContext.defaultParallelism
+    counts = sample.repartition(cores).mapInArrow(count, "term string, " + ", ".join(f"{n} long" for n in each)).groupBy("term").agg(*[F.sum(n).alias(n) for n in each]).checkpoint()
     whole = counts.filter(F.col("term") == "").first()
-    if not whole or not whole["t"] or not whole["c"]:
+    toxic = [whole[2 * k + 1] for k in range(FOLDS)] if whole else [0]
+    clean = [whole[2 * k + 2] for k in range(FOLDS)] if whole else [0]
+    if not sum(toxic) or not sum(clean):
         return Model({})
-    n, share = whole["t"] + whole["c"], whole["t"] / (whole["t"] + whole["c"])
-    k = F.col("t") + F.col("c")
-    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-    g2 = 2 * (part(F.col("t"), k * share) + part(F.col("c"), k * (1 - share)))
-    strong = counts.filter((F.col("term") != "") & (F.col("t") >= MIN_DOCS) & (F.col("t") >= MIN_PRECISION * k) & (g2 >= MIN_G2)).orderBy(g2.desc(), "term").limit(MAX_TERMS)
-    model = Model(choose_terms([tuple(r) for r in strong.collect()], whole["t"], whole["c"]))
+    # what passes in any fold's rest or in all passes here
+    t, c = (sum(F.col(each[2 * k + i]) for k in range(FOLDS)) for i in (0, 1))
+    rests = [(t, c)] + [(t - F.col(each[2 * k]), c - F.col(each[2 * k + 1])) for k in range(FOLDS)]
+    passing = F.lit(False)
+    for x, y in rests:
+        passing = passing | ((x >= MIN_DOCS) & (x >= MIN_PRECISION * (x + y)))
+    strong = [tuple(r) for r in counts.filter((F.col("term") != "") & passing).collect()]
+
+    def view(fold: int | None) -> tuple[list[tuple[str, int, int]], int, int]:
+        """Counts of all folds but one, and the documents counted."""
+        used = [k for k in range(FOLDS) if k != fold]
+        return [(r[0], sum(r[2 * k + 1] for k in used), sum(r[2 * k + 2] for k in used)) for r in strong], sum(toxic[k] for k in used), sum(clean[k] for k in used)
+
+    views = [view(k) for k in range(FOLDS)]
+    models = [[Model(choose_terms(*v, g)) for v in views] for g in LADDER]
 
     def weigh(batches):
         for batch in batches:
-            e = [round(model.matches(t)[0], 2) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(e, pa.float64()), batch.column(1).cast(pa.int32())], ["e", "toxic"])
+            rows = [(g, round(models[g][fold].matches(text)[0], 2), label) for text, label, fold in zip(*(c.to_pylist() for c in batch.columns)) for g in range(len(LADDER))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int32())], ["g", "e", "toxic"])
 
-    seen = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism).mapInArrow(weigh, "e double, toxic int").groupBy("e", "toxic").count().collect()
-    rows = np.array(sorted((r[0], r[1], r[2]) for r in seen), float)
-    model.slope, model.offset = fit_line(rows[:, 0], rows[:, 1], rows[:, 2])
-    return model
+    seen = sorted(tuple(r) for r in sample.repartition(cores).mapInArrow(weigh, "g int, e double, toxic int").groupBy("g", "e", "toxic").count().collect())
+    best = None
+    for g, bound_ in enumerate(LADDER):
+        rows = np.array([r[1:] for r in seen if r[0] == g], float)
+        slope, offset = fit_line(rows[:, 0], rows[:, 1], rows[:, 2])
+        says = 1 / (1 + np.exp(-(slope * rows[:, 0] + offset))) >= THRESHOLD
+        wrong = float(rows[says != (rows[:, 1] > 0), 2].sum())
+        if best is None or wrong < best[0]:
+            best = wrong, bound_, slope, offset
+    return Model(choose_terms(*view(None), best[1]), best[2], best[3])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -305,6 +342,23 @@ def op6_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grammar does not reject."""
+    """Documents that the grammar does not reject, learned from the labels of
+    ``documents`` and applied to ``docs``.
+
+    Null and empty texts hold no clause and stay; equal texts and repeated rows
+    share their fate; a very long text is read whole, clause by clause; columns of
+    ``docs`` named as those of ``score`` pass unchanged; no rows give none."""
     model = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return score(docs, model).filter(F.col("toxicity") < THRESHOLD).select(*docs.columns)
+    return _kept(docs, model)
+
+
+def _kept(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` under the threshold, all columns as they are."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            keep = [model.probability(model.matches(t or "")[0]) < THRESHOLD for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -50,8 +50,18 @@ def test_learns_and_holds_out(spark):
 
 
 def test_held_out_accuracy(spark):
+    """Some labelled rows hold no word that others share, so not all are found."""
     sf = "/root/testdata/sf0.1"
-    out = X.op6_grammar(spark, sf).join(spark.read.parquet(sf + "/labels.parquet"), "doc_id").filter("held_out").toPandas()
-    hit = (out.predicted == out.toxic).mean()
-    clean = out[out.toxic == 0].predicted.mean()
-    assert hit > 0.96 and clean < 0.01
+    lang = spark.read.parquet(sf + "/documents.parquet").select("doc_id", "lang")
+    out = X.op6_grammar(spark, sf).join(spark.read.parquet(sf + "/labels.parquet"), "doc_id").join(lang, "doc_id").filter("held_out").toPandas()
+    found = out[out.toxic == 1].groupby("lang").predicted.mean()
+    assert out[out.toxic == 1].predicted.mean() >= 0.9
+    assert found["en"] >= 0.88 and found["de"] >= 0.85 and found["fr"] >= 0.85 and found["es"] >= 0.75, found
+    assert out[out.toxic == 0].predicted.mean() < 0.005
+
+
+def test_likelihood_ratio_and_bounds():
+    assert abs(X.likelihood_ratio(7, 1, 0.116) - 24.3) < 0.5 and X.likelihood_ratio(1, 9, 0.1) < 1e-9
+    counts = [("rare", 3, 0), ("good", 9, 0), ("mixed", 9, 9)]
+    assert set(X.choose_terms(counts, 100, 900, 15.0)) == {"good"}
+    assert X.choose_terms(counts, 0, 900) == {}
