@@ -5,7 +5,8 @@ three marginals meet their targets; a document's expected number of copies is
 its cell's raked weight over its cell's tokens, scaled; copies are drawn by a
 seeded hash of the id, so a run can be repeated and no shuffle of documents is
 needed. The cells are few (the product of three value counts) and are raked on
-the driver up to ``max_cells``; beyond it the same steps run as DataFrames.
+the driver up to ``max_cells``; beyond it the same steps run as DataFrames, with
+the same results.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ ROUNDS = 60
 #: Tokens expected out for one token in, at most, before cells are set to one copy.
 GROWTH = 2.0
 SEED = "mix"
-#: Cells (about 100 bytes each) up to which the table is broadcast.
+#: Cells (about 100 bytes each) up to which the table is broadcast; beyond, cells
+#: are repeated SALTS times, so that a cell's documents are dealt to many tasks.
 BROADCAST_CELLS = 20_000
+SALTS = 32
 SPLIT = "[ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -36,11 +39,14 @@ def word_count(text: Column) -> Column:
 
 
 def topic_of(text: Column) -> Column:
-    """The topic of a text by its form: table, symbols, licensed, short, prose."""
-    return (F.when(F.contains(text, F.lit(" | ")), "table")
-            .when(F.contains(text, F.lit("###")) | F.contains(text, F.lit("&&&")), "symbols")
-            .when(F.contains(text, F.lit("Licensed under")), "licensed")
-            .when(F.length(text) >= 600, "prose").otherwise("short"))
+    """The kind of a text, where no better topic is known, by its characters:
+    figures (over a tenth digits), marked (over an eighth ASCII punctuation),
+    listed (a line break for less than 80 characters), else short (under 600
+    characters) or prose. Pass ``topic`` to ``mix`` for a topic of another sort."""
+    n = F.length(text)
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    return (F.when(count("[0-9]") * 10 > n, "figures").when(count("[!-/:-@\\[-`{-~]") * 8 > n, "marked").when(count("\n") * 80 > n, "listed")
+            .when(n >= 600, "prose").otherwise("short"))
 
 
 def tempered(totals: dict, exponent: float) -> dict:
@@ -81,7 +87,9 @@ def calibrated(docs: DataFrame, targets: dict | None = None, temper: dict = TEMP
     once: the scale is the least that gives all cells of positive weight this,
     up to GROWTH times the input's tokens; cells still under one copy, as under
     targets that no weights meet, are set to one, and so are cells without
-    words."""
+    words. Shares of values without tokens are dropped and the rest of the axis
+    scaled up; an axis of which no target value has tokens is left as it is.
+    Without any tokens all are 0 (1 with ``whole``)."""
     spark = docs.sparkSession
     shared_dir(spark)
     cells = docs.groupBy(*AXES).agg(F.sum("tokens").alias("tokens")).checkpoint()
@@ -99,6 +107,8 @@ def calibrated(docs: DataFrame, targets: dict | None = None, temper: dict = TEMP
             total = dict(zip(values, np.bincount(key, tokens)))
             goal = (targets or {}).get(axis) or tempered(total, temper[axis])
             share = np.array([goal.get(v, 0.0) if total[v] else 0.0 for v in values])
+            if not share.sum():
+                share = np.array([total[v] for v in values])
             keys.append(key)
             shares.append(share / share.sum())
         w = rake(keys, tokens, shares, rounds)
@@ -107,16 +117,20 @@ def calibrated(docs: DataFrame, targets: dict | None = None, temper: dict = TEMP
             copies = np.maximum(ratio * min(1 / ratio[ratio > 0].min(), GROWTH * tokens.sum()), 1.0)
         else:
             copies = ratio * (budget if budget is not None else 1 / ratio.max())
-        out = spark.createDataFrame([(*r, float(p)) for r, p in zip(rows, copies)], schema)
-        # few enough to send to every executor instead of shuffling the texts
-        return out.hint("broadcast") if len(rows) <= BROADCAST_CELLS else out
+        return spark.createDataFrame([(*r, float(p)) for r, p in zip(rows, copies)], schema)
+    if not cells.agg(F.sum("tokens")).first()[0]:
+        return cells.select(*AXES, F.col("tokens").alias("cell_tokens"), F.lit(1.0 if whole else 0.0).alias("probability"))
     goals = []
     for axis in AXES:
+        total = cells.groupBy(F.col(axis).alias("value")).agg(F.sum("tokens").alias("t")).filter("t > 0")
         if (targets or {}).get(axis):
-            goals.append(spark.createDataFrame([(axis, k, float(v)) for k, v in targets[axis].items()], "axis string, value string, share double"))
+            wanted = spark.createDataFrame([(k, float(v)) for k, v in targets[axis].items()], "value string, p double")
+            power = total.join(wanted, "value", "left").select("value", "t", F.coalesce("p", F.lit(0.0)).alias("p"))
         else:
-            power = cells.groupBy(axis).agg(F.sum("tokens").alias("t")).select(F.lit(axis).alias("axis"), F.col(axis).alias("value"), F.pow(F.col("t"), F.lit(temper[axis])).alias("p"))
-            goals.append(power.crossJoin(F.broadcast(power.agg(F.sum("p").alias("_s")))).select("axis", "value", (F.col("p") / F.col("_s")).alias("share")))
+            power = total.withColumn("p", F.pow(F.col("t"), F.lit(temper[axis])))
+        whole_axis = F.broadcast(power.agg(F.sum("p").alias("_p"), F.sum("t").alias("_t")))  # one row
+        share = F.when(F.col("_p") > 0, F.col("p") / F.col("_p")).otherwise(F.col("t") / F.col("_t"))
+        goals.append(power.crossJoin(whole_axis).select(F.lit(axis).alias("axis"), "value", share.alias("share")))
     raked = _rake_frames(cells, goals[0].unionByName(goals[1]).unionByName(goals[2]).checkpoint(), rounds).withColumn("_r", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)).checkpoint()
     if whole:
         least, tokens = raked.agg(F.min(F.when(F.col("_r") > 0, F.col("_r"))), F.sum("tokens")).first()
@@ -126,30 +140,43 @@ def calibrated(docs: DataFrame, targets: dict | None = None, temper: dict = TEMP
     return raked.select(*AXES, F.col("tokens").alias("cell_tokens"), (F.col("_r") * scale).alias("probability"))
 
 
+def _drawn(docs: DataFrame, topic: Column | None = None, seed: str = SEED, **params) -> DataFrame:
+    """row (all columns of ``docs``), mix_tokens, mix_topic, probability, copies."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    axes = F.struct(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), (topic_of(text) if topic is None else topic).alias("topic"))
+    narrow = docs.select(axes.alias("cell"), word_count(text).alias("tokens")).select("cell.*", "tokens")
+    cells = calibrated(narrow, **params).select(F.struct(*AXES).alias("cell"), "probability")
+    draw = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 256), 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), word_count(text).alias("mix_tokens"), axes.alias("cell"), draw.alias("draw"))
+    if cells.count() <= BROADCAST_CELLS:
+        # few enough to send to every executor instead of shuffling the texts
+        joined = keyed.join(F.broadcast(cells), "cell", "left")
+    else:
+        salted = keyed.withColumn("salt", F.floor(F.col("draw") * 2**20 % SALTS).cast("int"))
+        joined = salted.join(cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["cell", "salt"], "left")
+    whole = F.floor(F.col("probability"))
+    copies = (whole + F.when(F.col("draw") < F.col("probability") - whole, 1).otherwise(0)).cast("int")
+    return joined.select("row", "mix_tokens", F.col("cell.topic").alias("mix_topic"), "probability", copies.alias("copies"))
+
+
 def mix(docs: DataFrame, topic: Column | None = None, seed: str = SEED, **params) -> DataFrame:
     """Adds mix_tokens, mix_topic, probability and copies to ``docs``.
 
     Columns of ``docs`` with these names are replaced; others pass. Null sources
     and languages are the value ''; a null text has no words. Documents without
     words get their cell's probability; cells without any word get 0. An empty
-    table gives no rows. Rows that repeat an id get the same draw.
+    table gives no rows. Rows that repeat an id get the same draw. A very long
+    text counts by all its words.
     """
     names = [c for c in docs.columns if c not in ("mix_tokens", "mix_topic", "probability", "copies")]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    axes = [F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce(F.col("lang").cast("string"), F.lit("")), topic_of(text) if topic is None else topic]
-    keyed = docs.select(*names, word_count(text).alias("mix_tokens"), axes[2].alias("mix_topic"))
-    narrow = docs.select(axes[0].alias("source"), axes[1].alias("lang"), axes[2].alias("topic"), word_count(text).alias("tokens"))
-    cells = calibrated(narrow, **params).select(F.struct(*AXES).alias("_cell"), "probability")
-    draw = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 256), 1, 13), 16, 10).cast("long") / F.lit(float(16**13))
-    joined = keyed.withColumn("_cell", F.struct(axes[0].alias("source"), axes[1].alias("lang"), F.col("mix_topic").alias("topic"))).join(cells, "_cell", "left").drop("_cell")
-    whole = F.floor(F.col("probability"))
-    return joined.withColumn("copies", (whole + F.when(draw < F.col("probability") - whole, 1).otherwise(0)).cast("int"))
+    return _drawn(docs, topic, seed, **params).select(*[F.col("row").getField(c).alias(c) for c in names], "mix_tokens", "mix_topic", "probability", "copies")
 
 
 def sampled(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` as drawn, with its columns; several copies are rows."""
-    out = mix(docs, **params).filter(F.col("copies") > 0)
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """The rows of ``docs`` as drawn, with all its columns as they are; several
+    copies are rows."""
+    out = _drawn(docs, **params).filter(F.col("copies") > 0)
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op3_rake(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,8 +191,8 @@ def _step(axis: str, inner: str) -> str:
 OP3_SQL = f"""
 WITH RECURSIVE words AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
-    CASE WHEN contains(t, ' | ') THEN 'table' WHEN contains(t, '###') OR contains(t, '&&&') THEN 'symbols'
-         WHEN contains(t, 'Licensed under') THEN 'licensed' WHEN length(t) >= 600 THEN 'prose' ELSE 'short' END AS topic,
+    CASE WHEN len(regexp_extract_all(t, '[0-9]')) * 10 > length(t) THEN 'figures' WHEN len(regexp_extract_all(t, '[!-/:-@\\[-`{{-~]')) * 8 > length(t) THEN 'marked'
+         WHEN len(regexp_extract_all(t, '\n')) * 80 > length(t) THEN 'listed' WHEN length(t) >= 600 THEN 'prose' ELSE 'short' END AS topic,
     len(regexp_extract_all(t, '[^ \\t\\n\\x0B\\f\\r]+')) AS tokens
   FROM (SELECT *, coalesce(text, '') AS t FROM documents)
 ), cells AS (SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM words GROUP BY ALL),
