@@ -37,8 +37,8 @@ def interleave(docs: DataFrame, shards: int, seed: str = "interleave", source: s
     Sizes are UTF-8 bytes of the text plus 1. A null source is a source of its
     own; a null text has size 1 and crc32 0; null and repeated ids are ordered
     by their text's crc32 and size, wholly equal rows are interchangeable.
-    Other columns are ignored, so names in them cannot clash; an empty table
-    gives no rows; with fewer rows than shards some shards are empty.
+    Other columns are ignored, so names in them cannot clash; a very long text is
+    a row as any; an empty table gives no rows; with fewer rows than shards some shards are empty.
     """
     shared_dir(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))

@@ -1,14 +1,16 @@
+import hashlib
 import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from siltstone.llm import chat, mixing, sharding
 
 
 def test_shards(spark):
     rows = [(i, "t" * (i % 50), f"s{i % 3 if i % 2 else 0}") for i in range(1003)] + [(None, None, None), (5, "t" * 5, "s2"), (5, "t" * 5, "s2")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumnRenamed("source", "source")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = sharding.interleave(df, 8).collect()
     assert len(out) == len(rows)
     sizes = Counter(r["shard"] for r in out)
@@ -26,6 +28,37 @@ def test_shards(spark):
     assert sharding.interleave(df.limit(3), 8).count() == 3
 
 
+def _plain_shards(rows, shards, seed="interleave"):
+    """The same rule in plain Python: one list, sorted."""
+    kept = []
+    for i, t, source in rows:
+        data = (t or "").encode()
+        h = hashlib.sha256(f"{seed}:{'null' if i is None else i}".encode()).hexdigest()
+        kept.append((("=" + source) if source is not None else "", h, -2**63 if i is None else i, zlib.crc32(data), len(data) + 1, i))
+    n, merged = Counter(k[0] for k in kept), []
+    seen = Counter()
+    for k in sorted(kept, key=lambda k: k[:5]):
+        merged.append(((2 * seen[k[0]] + 1) / (2 * n[k[0]]), k[0], seen[k[0]], k))
+        seen[k[0]] += 1
+    out, slots = [], Counter()
+    for place, (_, _, _, k) in enumerate(sorted(merged, key=lambda m: m[:3])):
+        shard = place * shards // len(merged)
+        out.append((k[5], k[4], k[3], "rows", shard, slots[shard], None))
+        slots[shard] += 1
+    return out
+
+
+def test_shards_against_plain_python(spark, tmp_path):
+    """The query, row by row, on the tables and on odd rows."""
+    for folder in ("/root/testdata/sf0.001", str(tmp_path)):
+        if folder == str(tmp_path):
+            rows = [(i, "é" * (i % 9), [None, "", "a", "b"][i % 4]) for i in range(90)] + [(None, None, "a"), (None, "x", "a"), (5, "y", "a"), (5, "y", "a"), (91, "l" * 400_000, "b")]
+            spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "doc_id as shard", "text as rank", "source as _h").write.parquet(f"{folder}/documents.parquet")
+        rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source").collect()]
+        got = sharding.op10_interleave(spark, folder).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(_plain_shards(rows, 8), key=repr)
+
+
 def test_rake():
     keys = [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1]), np.zeros(4, int)]
     w = mixing.rake(keys, np.array([10.0, 20, 30, 40]), [np.array([0.7, 0.3]), np.array([0.2, 0.8]), np.ones(1)])
@@ -48,6 +81,36 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_driver_and_frames_agree(spark):
+    """Below and above the number of cells raked on the driver."""
+    import pytest
+
+    cells = spark.createDataFrame([("a", "en", "short", 10), ("b", "en", "prose", 30), ("b", "de", "prose", 0)], "source string, lang string, topic string, tokens long")
+    none = cells.withColumn("tokens", F.lit(0).cast("long"))
+    for frame, params in ((cells, {"targets": {"topic": {"short": 0.5, "gone": 0.5}}, "budget": 40.0}), (cells, {"targets": {"lang": {"fr": 1.0}}}), (cells, {}), (cells, {"whole": True}), (none, {}), (none, {"whole": True})):
+        one, two = ({tuple(r[:3]): r["probability"] for r in mixing.calibrated(frame, rounds=3, max_cells=m, **params).collect()} for m in (0, 1000))
+        assert one == pytest.approx(two), params
+
+
+def test_mixing_by_salted_join(spark, monkeypatch):
+    """More cells than are broadcast; names that the operator uses inside."""
+    rows = [(i, "word " * (1 + i % 40), "en" if i % 3 else "de", f"s{i % 4}", i, "x", 0.5) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, cell long, row string, probability double")
+    few = sorted(map(tuple, mixing.sampled(df).collect()))
+    whole = sorted(tuple(r) for r in mixing.mix(df).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
+    assert sorted(map(tuple, mixing.sampled(df).collect())) == few and sorted(tuple(r) for r in mixing.mix(df).collect()) == whole
+    assert mixing.sampled(df).columns == df.columns and set(few) <= set(rows) and few
+    long = spark.createDataFrame([(1, "w " * 300_000, "en", "a"), (2, "w", "en", "b")], "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"]: r["mix_tokens"] for r in mixing.mix(long).collect()} == {1: 300_000, 2: 1}
+
+
+def test_kinds(spark):
+    texts = {"": "short", "a b": "short", "x 1234": "figures", "a, b! c? d;": "marked", "a\nb": "listed", "word " * 200: "prose"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r[0]: r[1] for r in df.select("t", mixing.topic_of(F.col("t"))).collect()} == texts
+
+
 def test_mixing_stage_keeps_every_document(spark):
     import corpus_pipeline
 
@@ -63,8 +126,6 @@ def test_mixing_stage_keeps_every_document(spark):
 
 def test_word_count(spark):
     texts = ["", " ", "a", " a b ", "\ta\n\nb\x0bc", "é\xa0b", None, "x " * 500]
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     import re
 
@@ -92,9 +153,21 @@ def test_rotation(spark):
         assert {r["perspective"] for r in out if r["conv_id"] == 1} == {"user", "assistant", "ann"} and not [r for r in out if r["conv_id"] == 2]
         for conv, who in {(r["conv_id"], r["perspective"]) for r in out}:
             parts = sorted((r for r in out if (r["conv_id"], r["perspective"]) == (conv, who)), key=lambda r: r["part"])
-            turns = sorted(((2**62 if t is None else t, r or "unknown", x or "") for c, t, r, x in rows if c == conv))
+            turns = [(t, r, x) for t, _, r, x in sorted(((2**62 if t is None else t, hashlib.sha256(f"{r or 'unknown'}:{x or ''}".encode()).hexdigest(), r or "unknown", x or "") for c, t, r, x in rows if c == conv))]
             text, spans = _render(turns, who)
             assert "".join(p["text"] for p in parts) == text
             assert [tuple(m) for p in parts for m in p["mask"]] == spans
             assert [p["start"] for p in parts] == [sum(len(q["text"]) for q in parts[:k]) for k in range(len(parts))]
+            assert all(p["n_turns"] == part for p in parts[:-1])
     assert chat.rotate(df.limit(0)).count() == 0
+
+
+def test_rotation_of_odd_tables(spark):
+    """Names used inside, a very long text, and many turns of one number."""
+    rows = [(1, None, "u" if k % 2 else "v", f"text {k}", "x", k) for k in range(700)] + [(2, 0, "u", "l" * 300_000, "y", 1), (2, 1, "w", "s", "y", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n string, part long")
+    out = chat.rotate(df).collect()
+    assert sorted(r["n_turns"] for r in out if r["conv_id"] == 1) == [188, 188, 256, 256, 256, 256]
+    one = "".join(r["text"] for r in sorted((r for r in out if r["conv_id"] == 1 and r["perspective"] == "u"), key=lambda r: r["part"]))
+    assert one.count(chat.END) == 700 and one.count("<|assistant|>") == 350
+    assert {len(r["text"]) for r in out if r["conv_id"] == 2} == {300_000 + 1 + 14 + 2 * len(chat.END) + len("<|user name=w|>\n"), 300_000 + 1 + 14 + 2 * len(chat.END) + len("<|user name=u|>\n")}
