@@ -4,16 +4,21 @@ Under each of PERMUTATIONS hash functions a document keeps the least and the
 greatest value of its shingles: two unbiased samples for one evaluation. Bands of
 ROWS of these values (minimum and maximum of ROWS / 2 functions) put documents
 into buckets; two documents with Jaccard similarity s meet in one of BANDS with
-probability 1 - (1 - s ** ROWS) ** BANDS: all but one in a million at 0.8.
+probability about 1 - (1 - s ** ROWS) ** BANDS: all but one in a million at 0.8.
+Of small sets minimum and maximum are not independent: two sets of four and five
+shingles that share four agree in both with 0.6, not 0.64, and all but 14 in a
+million meet.
 
 Documents with equal shingle sets are one class, found by a 128-bit hash of the
 set. Class representatives of a bucket are first linked to its least member: a
-star, not all pairs. Every candidate is confirmed on full sets. Where a bucket
+star, not all pairs; the text of a lead that many members ask for goes to several
+tasks, STAR members a task. Every candidate is confirmed on full sets. Where a bucket
 still holds several components, signatures are compared across them in blocks
 of at most GRID members; a document of the smaller component that may reach the
 threshold (five standard deviations below it) with a member of the larger is then
-compared exactly with all of that component's members, block by block through an
-index of their shingles, and one link is kept. No link between components is
+compared exactly with all of that component's members, block by block (of at most
+GRID texts, and about BYTES of text) through an index of their shingles, and one
+link is kept. No link between components is
 lost, and no table of pairs is made.
 """
 
@@ -31,8 +36,9 @@ from siltstone.llm.components import components
 
 ROWS, BANDS = 6, 46
 PERMUTATIONS = ROWS * BANDS // 2
-GRID = 2048
-_ADDED = [T.StructField("_ref", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_h1", T.LongType()), T.StructField("_h2", T.LongType()), T.StructField("_keys", T.ArrayType(T.LongType())), T.StructField("_sig", T.BinaryType())]
+GRID, STAR = 1024, 1024
+BYTES = 32 << 20
+_ADDED = [T.StructField("_ref", T.LongType()), T.StructField("_b", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_h1", T.LongType()), T.StructField("_h2", T.LongType()), T.StructField("_keys", T.ArrayType(T.LongType())), T.StructField("_sig", T.BinaryType())]
 
 
 def sets_of(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +75,8 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """``docs`` with a row number, set size, set hash, band keys and the low byte
-    of every signature value."""
+    """``docs`` with a row number, bytes, set size, set hash, band keys and the low
+    byte of every signature value."""
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, *_ADDED])
 
@@ -91,11 +97,11 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                 none = size == 0
                 offsets = np.concatenate([[0], np.cumsum(np.where(none, 0, BANDS))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    *batch.slice(a, n).columns, pa.array(number + np.arange(n)), pa.array(size.astype(np.int64)),
+                    *batch.slice(a, n).columns, pa.array(number + np.arange(n)), pa.array(np.diff(texts.offsets[a:b + 1])), pa.array(size.astype(np.int64)),
                     pa.array(one.view(np.int64), mask=none), pa.array(two.view(np.int64), mask=none),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[~none].reshape(-1))),
                     pa.array([None if z else s.tobytes() for z, s in zip(none, low)], pa.binary()),
-                ], schema=pa.schema([*batch.schema, ("_ref", pa.int64()), ("_n", pa.int64()), ("_h1", pa.int64()), ("_h2", pa.int64()), ("_keys", pa.list_(pa.int64())), ("_sig", pa.binary())]))
+                ], schema=pa.schema([*batch.schema, ("_ref", pa.int64()), ("_b", pa.int64()), ("_n", pa.int64()), ("_h1", pa.int64()), ("_h2", pa.int64()), ("_keys", pa.list_(pa.int64())), ("_sig", pa.binary())]))
                 number += n
 
     return docs.mapInArrow(run, schema)
@@ -116,9 +122,11 @@ def _plain(data: bytes) -> bytes:
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of row numbers whose full sets reach the similarity."""
+    """The pairs (a, b) of row numbers whose full sets reach the similarity; equal
+    (a, lot) are compared in one place, so that a hot ``a`` is dealt by ``lot``."""
     texts = _squeezed(rows, pairs.select(F.col("a").alias("ref")).unionAll(pairs.select(F.col("b").alias("ref"))))
-    full = pairs.join(texts.select(F.col("ref").alias("a"), F.col("packed").alias("left")), "a").join(texts.select(F.col("ref").alias("b"), F.col("packed").alias("right")), "b").select("a", "b", "left", "right")
+    leads = pairs.select("a", "lot").distinct().join(texts.select(F.col("ref").alias("a"), F.col("packed").alias("left")), "a")
+    full = pairs.join(leads, ["a", "lot"]).join(texts.select(F.col("ref").alias("b"), F.col("packed").alias("right")), "b").select("a", "b", "left", "right")
 
     def check(batches):
         for batch in batches:
@@ -198,9 +206,9 @@ def _across(percent: int):
     return run
 
 
-def labelled(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` (with doc_id and text) as written, with _ref, _n (set size) and
-    _comp, the component as the least row number in it."""
+def labelled(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (with doc_id and text) as written with row numbers _ref; and
+    (_ref, doc_id, _n, _comp): set sizes, and components as the least row number."""
     spark = docs.sparkSession
     shared_dir(spark)
     rows = written(signed(docs, words), "minmax")
@@ -209,12 +217,16 @@ def labelled(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     entries = rows.select("_ref", "_keys").join(reps, "_ref", "left_semi").select(F.explode("_keys").alias("key"), F.col("_ref").alias("ref"))
     shared = entries.groupBy("key").agg(F.min("ref").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     bucketed = entries.join(shared, "key").checkpoint()
-    star = bucketed.filter("ref <> lead").select(F.col("lead").alias("a"), F.col("ref").alias("b")).distinct().checkpoint()
+    star = bucketed.filter("ref <> lead").groupBy(F.col("lead").alias("a"), F.col("ref").alias("b")).agg(F.max("size").alias("size"))
+    star = star.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / STAR)).alias("lot")).checkpoint()
     first = confirmed(star, rows, words, percent).checkpoint()
     labels = components(first)
     # buckets that still hold several components
     member = bucketed.select("ref").distinct().join(labels.withColumnRenamed("node", "ref"), "ref", "left").select("ref", F.coalesce("label", "ref").alias("comp"))
-    mass = member.groupBy("comp").agg(F.count(F.lit(1)).alias("mass"))
+    member = member.join(rows.select(F.col("_ref").alias("ref"), F.col("_b").alias("bytes")), "ref")
+    # blocks that a component's texts make
+    blocks = lambda n, b: F.greatest(F.ceil(n / GRID), F.ceil(b / BYTES), F.lit(1)).cast("int")
+    mass = member.groupBy("comp").agg(F.count(F.lit(1)).alias("mass"), F.sum("bytes").alias("_b")).select("comp", "mass", blocks(F.col("mass"), F.col("_b")).alias("lots"))
     member = member.join(mass, "comp").checkpoint()
     placed = bucketed.select("key", "ref", "size").join(member, "ref").checkpoint()
     mixed = placed.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("key")
@@ -226,15 +238,18 @@ def labelled(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     grid = open_.select("key", "ref", "comp", "mass", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("other"))
     grid = grid.select("key", "ref", "comp", "mass", "sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"))
     ask = grid.groupBy("key", "lo", "hi").applyInArrow(_across(percent), "ref long, comp long").distinct().checkpoint()
-    asked = ask.groupBy("comp").agg(F.count(F.lit(1)).alias("n_ask")).join(mass, "comp").checkpoint()
+    asks = ask.join(member.select("ref", "bytes"), "ref").groupBy("comp").agg(F.count(F.lit(1)).alias("_n"), F.sum("bytes").alias("_b"))
+    asked = asks.join(mass, "comp").select("comp", "lots", blocks(F.col("_n"), F.col("_b")).alias("ask_lots")).checkpoint()
     texts = _squeezed(rows, ask.select("ref").unionAll(member.join(asked.select("comp"), "comp", "left_semi").select("ref")))
-    spread = lambda side, mine, theirs: side.select("comp", "ref", F.pmod(F.xxhash64("ref"), F.ceil(F.col(mine) / GRID)).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col(theirs) / GRID) - 1).cast("int"))).alias("theirs"))
-    askers = spread(ask.join(asked, "comp"), "n_ask", "mass").select("comp", "ref", F.col("theirs").alias("block"), F.col("mine").alias("lot"), F.lit(True).alias("asks"))
-    members = spread(member.drop("mass").join(asked, "comp"), "mass", "n_ask").select("comp", "ref", F.col("mine").alias("block"), F.col("theirs").alias("lot"), F.lit(False).alias("asks"))
+    spread = lambda side, mine, theirs: side.select("comp", "ref", F.pmod(F.xxhash64("ref"), F.col(mine)).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)).alias("theirs"))
+    askers = spread(ask.join(asked, "comp"), "ask_lots", "lots").select("comp", "ref", F.col("theirs").alias("block"), F.col("mine").alias("lot"), F.lit(True).alias("asks"))
+    members = spread(member.select("ref", "comp").join(asked, "comp"), "lots", "ask_lots").select("comp", "ref", F.col("mine").alias("block"), F.col("theirs").alias("lot"), F.lit(False).alias("asks"))
     second = askers.unionAll(members).join(texts, "ref").groupBy("comp", "block", "lot").applyInArrow(_indexed(words, percent), "a long, b long").distinct().checkpoint()
     final = components(first.unionAll(second))
     comp = classes.join(final.select(F.col("node").alias("_rep"), F.col("label").alias("_comp")), "_rep", "left").select("_h1", "_h2", "_n", F.coalesce("_comp", "_rep").alias("_comp"))
-    return rows.drop("_keys", "_sig").join(comp, ["_h1", "_h2", "_n"], "left").withColumn("_comp", F.coalesce("_comp", "_ref")).drop("_h1", "_h2")
+    # without texts, so a class of very many equal documents moves few bytes
+    narrow = rows.select("_ref", "doc_id", "_n", "_h1", "_h2").join(comp, ["_h1", "_h2", "_n"], "left").select("_ref", "doc_id", "_n", F.coalesce("_comp", "_ref").alias("_comp"))
+    return rows.drop("_b", "_n", "_keys", "_sig", "_h1", "_h2"), narrow
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -245,19 +260,21 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     and the document links with nothing. component_id is the least doc_id of the
     component; null ids are never the least unless all are null. Rows that repeat
     an id are all kept if the id is the component's. Other columns are ignored;
-    an empty table gives no rows."""
-    rows = labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), words, percent).select("doc_id", "_n", "_comp")
+    an empty table gives no rows; a very long text is compared whole."""
+    _, rows = labelled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), words, percent)
     least = rows.groupBy("_comp").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "_comp").select("doc_id", F.col("_n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` of which one of each component stays: that of the
-    least doc_id, of equal ids the one read first; null ids come last."""
-    clash = {c: f"_{'own' * (1 + max(map(len, docs.columns)))}_{k}" for k, c in enumerate(docs.columns) if c in {"_ref", "_n", "_h1", "_h2", "_keys", "_sig", "_comp"}}
-    rows = labelled(docs.withColumnsRenamed(clash), words, percent)
-    least = rows.groupBy("_comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("_ref").alias("r"))).alias("_m")).select("_comp", F.col("_m.r").alias("_ref"))
-    return rows.join(least, ["_comp", "_ref"], "left_semi").select(*[clash.get(c, c) for c in docs.columns]).toDF(*docs.columns)
+    least doc_id, of equal ids the one read first; null ids come last. Null and
+    wordless texts are like no other and stay; columns may have any names; an
+    empty table gives no rows; a very long text is compared whole."""
+    clash = {c: f"_{'own' * (1 + max(map(len, docs.columns)))}_{k}" for k, c in enumerate(docs.columns) if c in {"_ref", "_b", "_n", "_h1", "_h2", "_keys", "_sig", "_comp"}}
+    rows, found = labelled(docs.withColumnsRenamed(clash), words, percent)
+    least = found.groupBy("_comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("_ref").alias("r"))).alias("_m")).select(F.col("_m.r").alias("_ref"))
+    return rows.join(least, "_ref", "left_semi").select(*[clash.get(c, c) for c in docs.columns]).toDF(*docs.columns)
 
 
 def op9_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,8 @@ def test_components_against_brute_force(spark):
 
 def test_blocks_of_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(M, "GRID", 8)
+    monkeypatch.setattr(M, "STAR", 5)
+    monkeypatch.setattr(M, "BYTES", 2000)
     df = spark.createDataFrame(rows(), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in M.near_components(df, words=2).collect()} == {i: c for i, (_, c) in brute(rows(), 2).items()}
 
@@ -62,6 +64,14 @@ def test_one_of_each(spark):
     assert M.near_components(df.limit(0)).count() == 0
 
 
+def test_very_long_texts(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    data = [(1, " ".join(words)), (2, " ".join(words[:50_000])), (3, " ".join(words[:40_001])), (4, "x " * 200_000), (5, "X\nx x"), (6, None), (7, " ".join(words))]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in M.near_components(df, words=2).collect()}
+    assert got == {1: (59_999, 1), 2: (49_999, 1), 3: (40_000, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (59_999, 1)}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)]
     out = {r[0]: r[1] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
