@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,9 +36,15 @@ CATEGORIES = {
 }
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
+def _is_ascii(text: pa.Array) -> bool:
+    return pc.all(pc.string_is_ascii(text)).as_py() is not False
+
+
+@F.arrow_udf(T.StringType())
+def nfkc(text: pa.Array) -> pa.Array:
+    if _is_ascii(text):
+        return text
+    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
 
 
 #: So marked, the optimizer evaluates it once and doesn't copy it, and the
@@ -45,9 +52,11 @@ def nfkc(text: pd.Series) -> pd.Series:
 nfkc = nfkc.asNondeterministic()
 
 
-@F.pandas_udf(T.StringType())
-def casefold(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else t.casefold())
+@F.arrow_udf(T.StringType())
+def casefold(text: pa.Array) -> pa.Array:
+    if _is_ascii(text):
+        return pc.ascii_lower(text)
+    return pa.array([None if t is None else t.casefold() for t in text.to_pylist()], pa.string())
 
 
 def tokens(text: Column, mask: bool = False, normalise: bool = True) -> Column:
@@ -75,9 +84,14 @@ def lower_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
 
 
+# Quoted spans (over lines too) and numbers of the structural signature.
+QUOTED = "`[^`]*`|\"[^\"]*\"|'[^']*'"
+SIGNED_NUMBER = r"(?U)(?<![\w.])[+-]?\d+(?:\.\d+)?%?"
+
+
 def signature_form(text: Column) -> Column:
-    quoted = F.regexp_replace(casefold(text), "\"[^\"\\n]*\"|'[^'\\n]*'", "<quoted>")
-    return F.trim(F.regexp_replace(F.regexp_replace(quoted, r"[+-]?\d+(?:[.,/]\d+)*", "<number>"), r"(?U)\s+", " "))
+    quoted = F.regexp_replace(casefold(text), QUOTED, "<quoted>")
+    return F.trim(F.regexp_replace(F.regexp_replace(quoted, SIGNED_NUMBER, "<number>"), r"(?U)\s+", " "))
 
 
 def identity(text: Column, **kind) -> Column:
@@ -121,22 +135,28 @@ def jaccard(left: Column, right: Column) -> Column:
 
 
 def prefix_echo(response: Column, question: Column) -> Column:
-    """The first min(8, n) words are equal, for at least 5."""
-    n = F.least(F.lit(8), F.size(response), F.size(question))
+    """The response begins with the question's first min(8, n) words, for at
+    least 5; a shorter response does not."""
+    n = F.least(F.lit(8), F.size(question))
     return (n >= 5) & (F.slice(response, F.lit(1), F.greatest(n, F.lit(0))) == F.slice(question, F.lit(1), F.greatest(n, F.lit(0))))
 
 
+def word_overlap(left: Column, right: Column) -> Column:
+    """Jaccard of the word sets; 0 where either side has no word."""
+    return F.when((F.size(left) > 0) & (F.size(right) > 0), jaccard(F.array_distinct(left), F.array_distinct(right))).otherwise(0.0)
+
+
 def restates(question: Column, completion: Column, size: int = 8) -> Column:
     """Some window of the completion lies in the question."""
     return F.coalesce(F.arrays_overlap(windows(question, size), windows(completion, size)), F.lit(False))
 
 
 def repeats(words: Column) -> Column:
-    """A word twice in a row, or any three words three times."""
+    """A word twice in a row, or, of nine words or more, any three three times."""
     n = F.size(words)
     moved = lambda array, k: F.slice(array, F.lit(k + 1), F.greatest(F.size(array) - k, F.lit(0)))
     same = lambda array, k: F.exists(F.arrays_zip(F.slice(array, F.lit(1), F.greatest(F.size(array) - k, F.lit(0))).alias("x"), moved(array, k).alias("y")), lambda z: z["x"] == z["y"])
-    return (n > 1) & (same(words, 1) | same(F.array_sort(_runs(words, 3)), 2))
+    return (n > 1) & (same(words, 1) | ((n >= 9) & same(F.array_sort(_runs(words, 3)), 2)))
 
 
 def repeated_phrase(words: Column, widths: range = range(2, 6)) -> Column:
@@ -162,8 +182,9 @@ def formula_categories(operations: Column) -> Column:
 
 
 def url_fingerprint(url: Column) -> Column:
-    """Words form of host and path."""
-    return words_form(F.concat_ws(" ", F.try_parse_url(url, F.lit("HOST")), F.try_parse_url(url, F.lit("PATH"))), normalise=False)
+    """Words form of host and path, numbers masked."""
+    path = F.regexp_replace(F.try_parse_url(url, F.lit("PATH")), "^/+|/+$", "")
+    return words_form(F.concat_ws(" ", F.try_parse_url(url, F.lit("HOST")), path), mask=True, normalise=False)
 
 
 def prompt_echo(prompt: Column, response: Column, least: int = 24) -> Column:
@@ -202,5 +223,49 @@ def seeded_rank(seed: str, key: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), key.cast("string")), 256)
 
 
-def nested_drop(column: Column, fields: list[str]) -> Column:
-    return column.dropFields(*fields)
+# What a content-free record may not hold.
+CONTENT_FIELDS = ["prompt", "question", "response", "completion", "answer", "canonical_answer", "expected", "text", "raw_response", "reference", "messages"]
+
+
+def content_free(schema: T.DataType, column: Column, forbidden: list[str] | None = None) -> Column:
+    """The column without fields that hold content, however deeply they lie."""
+    names = forbidden or CONTENT_FIELDS
+    if isinstance(schema, T.StructType):
+        kept = [f for f in schema.fields if f.name not in names]
+        whole = F.struct(*[content_free(f.dataType, column.getField(f.name), names).alias(f.name) for f in kept])
+        return F.when(column.isNotNull(), whole)
+    if isinstance(schema, T.ArrayType) and isinstance(schema.elementType, (T.StructType, T.ArrayType)):
+        return F.transform(column, lambda x: content_free(schema.elementType, x, names))
+    return column
+
+
+def structure_hash(neutral_id: Column, cues: Column) -> Column:
+    """Digest of the canonical JSON of a number-neutral identity and its cues."""
+    listed = F.array_join(F.transform(cues, lambda c: F.concat(F.lit('"'), c, F.lit('"'))), ",")
+    return F.sha2(F.concat(F.lit('{"number_neutral_sha256":"'), neutral_id, F.lit('","operation_cues":['), listed, F.lit("]}")), 256)
+
+
+def serialized(numerator: Column, denominator: Column) -> Column:
+    """'n' or 'n/d'."""
+    n, d = numerator.cast("string"), denominator.cast("string")
+    return F.when(denominator == 1, n).otherwise(F.concat(n, F.lit("/"), d))
+
+
+def messages(question: Column, system: str, before: str = "", after: str = "", completion: Column | None = None) -> Column:
+    """array of (role, content): the system's, the user's and, with a completion,
+    the assistant's; a blank question or completion is an error."""
+    blank = lambda c: F.coalesce(~F.rlike(c, F.lit(r"(?U)\S")), F.lit(True))
+    of = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    turns = [of("system", F.lit(system)), of("user", F.concat(F.lit(before), question, F.lit(after)))]
+    bad = blank(question)
+    if completion is not None:
+        turns.append(of("assistant", completion))
+        bad = bad | blank(completion)
+    return F.when(bad, F.raise_error(F.lit("question and completion have to hold text"))).otherwise(F.array(*turns))
+
+
+def built_completion(formula: Column, operations: Column, answer: Column) -> Column:
+    """The calculation, in short where it is long, and the final answer's line."""
+    short = (operations <= 6) & (F.length(formula) <= 120)
+    said = F.when(short, F.concat(F.lit("Calculation: "), formula)).otherwise(F.concat(F.lit("Calculation: "), operations.cast("string"), F.lit(" operations evaluate to "), answer, F.lit(".")))
+    return F.concat(said, F.lit("\nFinal answer: "), answer)

@@ -34,21 +34,24 @@ a AS (SELECT conv_id, turn, {sql_tokens('text')} AS r FROM conversations WHERE r
 
 @query(f"""WITH {_PAIRED}, p AS (SELECT a.conv_id, a.turn, q, r FROM a JOIN u ON a.conv_id = u.conv_id AND a.turn = u.turn + 1)
 SELECT conv_id, turn,
-  (least(8, len(q), len(r)) >= 5 AND q[1:least(8, len(q), len(r))] = r[1:least(8, len(q), len(r))]) AS prefix_echo,
-  round(CASE WHEN len(list_distinct(q || r)) = 0 THEN 1.0 ELSE len(list_intersect(list_distinct(q), list_distinct(r))) / len(list_distinct(q || r)) END, 6) AS overlap,
+  (least(8, len(q)) >= 5 AND q[1:least(8, len(q))] = r[1:least(8, len(q))]) AS prefix_echo,
+  round(CASE WHEN len(q) = 0 OR len(r) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(q), list_distinct(r))) / len(list_distinct(q || r)) END, 6) AS overlap,
   len(list_intersect({sql_windows('q', 8)}, {sql_windows('r', 8)})) > 0 AS restates FROM p""")
 def p9_overlap(spark, d):
     c = t(spark, d, "conversations")
     u = c.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), X.tokens(F.col("text")).alias("q"))
     a = c.filter("role = 'assistant'").select("conv_id", "turn", X.tokens(F.col("text")).alias("r"))
     q, r = F.col("q"), F.col("r")
-    return a.join(u, ["conv_id", "turn"]).select("conv_id", "turn", X.prefix_echo(r, q).alias("prefix_echo"), F.round(X.jaccard(F.array_distinct(q), F.array_distinct(r)), 6).alias("overlap"), X.restates(q, r).alias("restates"))
+    return a.join(u, ["conv_id", "turn"]).select("conv_id", "turn", X.prefix_echo(r, q).alias("prefix_echo"), F.round(X.word_overlap(q, r), 6).alias("overlap"), X.restates(q, r).alias("restates"))
 
 
-@query()
+_ADJACENT = " OR ".join(f"len(list_filter(range(1, len(w) - {2 * k - 2}), lambda i: w[i : i + {k - 1}] = w[i + {k} : i + {2 * k - 1}])) > 0" for k in range(2, 6))
+
+
+@query(f"""WITH w AS (SELECT doc_id, {sql_tokens('text')} AS w FROM documents),
+r AS (SELECT *, CASE WHEN len(w) < 9 THEN 0 ELSE list_max(map_values(list_histogram(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) END AS most FROM w)
+SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) > 0 OR most >= 3 AS repeats, {_ADJACENT} AS repeated_phrase FROM r""")
 def p11_repetition(spark, d):
-    """SQL has no quick form of this on whole texts; the tests hold it against
-    plain Python."""
     w = t(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("w"))
     return w.select("doc_id", X.repeats(F.col("w")).alias("repeats"), X.repeated_phrase(F.col("w")).alias("repeated_phrase"))
 
@@ -72,7 +75,10 @@ def p13_categories(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(X.formula_categories(ops), ",").alias("categories"))
 
 
-@query("""SELECT page_id, array_to_string(regexp_extract_all(lower(concat_ws(' ', nullif(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), ''), regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1))), '[a-z0-9]+'), ' ') AS fingerprint FROM pages""")
+_URL = "concat_ws(' ', nullif(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), ''), trim(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/'))"
+
+
+@query(f"SELECT page_id, {sql_words(_URL, True)} AS fingerprint FROM pages")
 def p14_url_fingerprint(spark, d):
     return t(spark, d, "pages").select("page_id", X.url_fingerprint(F.col("url")).alias("fingerprint"))
 
@@ -100,7 +106,53 @@ def p21_seed(spark, d):
     return t(spark, d, "orders").select("o_orderkey", X.seed_of(F.lit("seed"), F.col("o_orderkey").cast("string")).cast("string").alias("seed"))
 
 
-@query("""SELECT conv_id, turn, role, sha256(trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '"[^"\\n]*"|''[^''\\n]*''', '<quoted>', 'g'), '[+-]?\\d+(?:[.,/]\\d+)*', '<number>', 'g'), '\\s+', ' ', 'g'))) AS signature
-FROM conversations""")
+_FOLDED = "replace(lower(text), 'ß', 'ss')"
+_SIGNED = "regexp_replace(regexp_replace(regexp_replace({t}, '`[^`]*`|\"[^\"]*\"|QQ[^QQ]*QQ', '<quoted>', 'g'), '(^|[^\\w.])[+-]?\\d+(?:\\.\\d+)?%?', '\\1<number>', 'g'), '\\s+', ' ', 'g')".replace("QQ", "''")
+
+
+@query(f"SELECT conv_id, turn, role, sha256(trim({_SIGNED.format(t=_FOLDED)})) AS signature FROM conversations")
 def p27_signature(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", "role", X.structural_signature(F.col("text")).alias("signature"))
+
+
+_CUED = "concat_ws(',', " + ", ".join(f"CASE WHEN list_has_any(w, {v}) THEN '\"{k}\"' END" for k, v in sorted(_LISTS.items())) + ")"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {sql_tokens('text')} AS w, sha256({sql_words('text', True)}) AS n FROM documents)
+SELECT doc_id, sha256('{{"number_neutral_sha256":"' || n || '","operation_cues":[' || {_CUED} || ']}}') AS structure FROM w""")
+def p4_structure_hash(spark, d):
+    w = t(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("w"), X.identity(F.col("text"), mask=True).alias("n"))
+    return w.select("doc_id", X.structure_hash(F.col("n"), X.operation_cues(F.col("w"))).alias("structure"))
+
+
+@query("""SELECT conv_id, turn, 'system' AS first_role, 'Solve it: ' || text || ' Thanks.' AS content, 2 AS n FROM conversations WHERE role = 'user' AND regexp_matches(text, '\\S')""")
+def p22_prompt_render(spark, d):
+    u = t(spark, d, "conversations").filter((F.col("role") == "user") & F.rlike("text", F.lit(r"\S")))
+    m = u.select("conv_id", "turn", X.messages(F.col("text"), "You solve problems.", "Solve it: ", " Thanks.").alias("m"))
+    return m.select("conv_id", "turn", F.col("m")[0]["role"].alias("first_role"), F.col("m")[1]["content"].alias("content"), F.size("m").alias("n"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, 'Calculation: ' || CASE WHEN l_linenumber <= 6 AND length(f) <= 120 THEN f ELSE l_linenumber::VARCHAR || ' operations evaluate to ' || a || '.' END || chr(10) || 'Final answer: ' || a AS completion
+FROM (SELECT *, l_partkey::VARCHAR || ' + ' || l_suppkey::VARCHAR AS f, (l_partkey + l_suppkey)::VARCHAR AS a FROM lineitem)""")
+def p23_completion(spark, d):
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    formula, total = F.concat(p.cast("string"), F.lit(" + "), s.cast("string")), (p + s).cast("string")
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.built_completion(formula, F.col("l_linenumber"), total).alias("completion"))
+
+
+@query("""SELECT conv_id, turn, to_json({'role': role, 'meta': {'length': length(text)}, 'parts': [{'k': turn}]})::VARCHAR AS record FROM conversations""")
+def p24_content_free(spark, d):
+    """A nested record of which every field with content goes."""
+    c = t(spark, d, "conversations").select("conv_id", "turn", F.struct("role", "text", F.struct(F.length("text").alias("length"), F.col("text").alias("prompt")).alias("meta"), F.array(F.struct(F.col("turn").alias("k"), F.col("text").alias("answer"))).alias("parts")).alias("r"))
+    return c.select("conv_id", "turn", F.to_json(X.content_free(c.schema["r"].dataType, F.col("r"))).alias("record"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber // gcd(l_quantity::INT, l_linenumber) = 1 THEN (l_quantity::INT // gcd(l_quantity::INT, l_linenumber))::VARCHAR
+  ELSE (l_quantity::INT // gcd(l_quantity::INT, l_linenumber))::VARCHAR || '/' || (l_linenumber // gcd(l_quantity::INT, l_linenumber))::VARCHAR END AS ratio FROM lineitem""")
+def p25_serialized(spark, d):
+    """Quantities over line numbers in lowest terms (line numbers are few, so the
+    common divisor is found among them)."""
+    q, n = F.col("l_quantity").cast("int"), F.col("l_linenumber")
+    g = F.array_max(F.filter(F.sequence(F.lit(1), n), lambda k: (q % k == 0) & (n % k == 0)))
+    li = t(spark, d, "lineitem").withColumn("g", g)
+    return li.select("l_orderkey", "l_linenumber", X.serialized((q / F.col("g")).cast("long"), (n / F.col("g")).cast("long")).alias("ratio"))

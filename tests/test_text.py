@@ -38,7 +38,7 @@ def test_tokens_and_grams(spark):
 
 def _repeats(w):
     tri = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
-    return any(a == b for a, b in zip(w, w[1:])) or any(tri.count(x) >= 3 for x in tri)
+    return any(a == b for a, b in zip(w, w[1:])) or len(w) >= 9 and any(tri.count(x) >= 3 for x in tri)
 
 
 def _phrase(w):
@@ -57,3 +57,25 @@ def test_folding(spark):
     df = spark.createDataFrame([("Straße  ẞ\t x",)], "t string")
     assert df.select(X.folded_form(F.col("t"))).first()[0] == "strasse ss x"
     assert df.select(X.jaccard(F.array().cast("array<string>"), F.array().cast("array<string>"))).first()[0] == 1.0
+
+
+def test_departures_found_before(spark):
+    """Rows on which earlier forms of these functions were wrong."""
+    one = spark.createDataFrame([(list("abababa"), list("abcde"), list("abcdefghi"), "https://a.com/p/123/x/", "`q` it's 'a\nb' 5% v2.5 -3")], "r array<string>, s array<string>, q array<string>, u string, t string")
+    none = F.array().cast("array<string>")
+    got = one.select(X.repeats(F.col("r")), X.prefix_echo(F.col("s"), F.col("q")), X.word_overlap(none, none), X.url_fingerprint(F.col("u")), X.signature_form(F.col("t"))).first()
+    assert tuple(got)[:4] == (False, False, 0.0, "a com p <num> x")
+    assert got[4] == "<quoted> it<quoted>a b' <number> v2.5 <number>"
+
+
+def test_casefold_by_batches(spark):
+    df = spark.createDataFrame([("ABC",), (None,), ("ẞ É",)], "t string").coalesce(1)
+    assert [r[0] for r in df.select(X.casefold(F.col("t"))).collect()] == ["abc", None, "ss é"]
+
+
+def test_blank_questions_are_errors(spark):
+    import pytest
+
+    df = spark.createDataFrame([(" \n",)], "t string")
+    with pytest.raises(Exception, match="hold text"):
+        df.select(X.messages(F.col("t"), "s")).collect()
