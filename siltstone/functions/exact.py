@@ -17,6 +17,7 @@ from collections.abc import Callable
 from fractions import Fraction
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siltstone.functions.types import struct_of, type_of
@@ -439,6 +440,12 @@ def program_family(category: str, operations: list[str]) -> str:
     return BOOKKEEPING
 
 
+def family_of(category: Column, operations: Column) -> Column:
+    """``program_family`` as a column expression."""
+    low, within = F.lower(category), lambda names: F.arrays_overlap(operations, F.array(*map(F.lit, names)))
+    return (F.when(low.isin(RATE_CATEGORIES) | within(RATE_OPERATIONS), RATE).when(low.isin(DISCRETE_CATEGORIES) | within(DISCRETE_OPERATIONS), DISCRETE).otherwise(BOOKKEEPING))
+
+
 def verify_formula_row(formula: str, answer: str, question: str, solution_type: str) -> dict:
     """A row of formula, answer and question: its evidence, or a reason code."""
     try:

@@ -11,6 +11,8 @@ import hashlib
 import json
 import re
 from fractions import Fraction
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.answers import terminal_number
 from siltstone.functions.exact import canonical_digest
-from siltstone.functions.text import word_overlap, prefix_echo, repeats, restates, tokens, words_form
+from siltstone.functions.text import prefix_echo, repeats, restates, word_overlap
 from siltstone.functions.types import struct_of
 from siltstone.operators.scoring import LINES, MARKER
 
@@ -200,12 +202,11 @@ def combined_evidence(verifier: tuple[Column, Column], method: tuple[Column, Col
     return F.when(verifier[0] == verifier[1], "same_verifier_id").when(method[0] == method[1], "same_method_family").when(~value[0].eqNullSafe(value[1]), "verifier_disagreement")
 
 
-def collapse_class(response: Column, question: Column, truncated: Column, exact: Column, predicted: Column, failure: Column) -> Column:
-    """The first of ten classes of an output that applies."""
-    r, q = tokens(response, mask=True), tokens(question, mask=True)
-    first = F.try_element_at(r, F.lit(1))
-    said = words_form(response, mask=True)
-    phrase = F.exists(F.array(*map(F.lit, QUESTION_PHRASES)), lambda p: F.contains(said, p))
+def collapse_class(response: Column, r: Column, q: Column, truncated: Column, exact: Column, predicted: Column, failure: Column) -> Column:
+    """The first of ten classes of an output that applies; ``r`` and ``q``: masked
+    tokens of response and question."""
+    first, said = F.try_element_at(r, F.lit(1)), F.array_join(r, " ")
+    phrase = reduce(or_, [F.contains(said, F.lit(p)) for p in QUESTION_PHRASES])
     reasoned = F.arrays_overlap(r, F.array(*map(F.lit, REASONING))) & F.rlike(response, F.lit(RAW_NUMBER))
     finals = F.regexp_count(response, F.lit(r"(?im)^\s*Final answer\s*:"))
     rules = [
@@ -216,9 +217,8 @@ def collapse_class(response: Column, question: Column, truncated: Column, exact:
     return F.coalesce(*[F.when(c, F.lit(n)) for c, n in rules], F.lit("unrelated_or_unclassifiable_prose"))
 
 
-def first_pattern(response: Column) -> Column:
-    """What a response begins with."""
-    r = tokens(response, mask=True)
+def first_pattern(r: Column) -> Column:
+    """What a response of these masked tokens begins with."""
     first, pair = F.try_element_at(r, F.lit(1)), F.array_join(F.slice(r, 1, 2), " ")
     return (F.when(F.size(r) == 0, "empty").when(pair == "final answer", "final_answer")
             .when(pair.isin("to find", "we need", "the answer") | first.isin("first", "because", "since", "therefore"), "reasoning_connective")
@@ -272,3 +272,13 @@ def failure_rule(section: Column, extractable: Column) -> Column:
     pair = lambda rule, family: F.struct(F.lit(rule).alias("rule"), F.lit(family).alias("family"))
     return (F.when(section == "format", pair("exact_text_equality", "exact_format_mismatch")).when(extractable, pair("numeric_terminal_expected_answer_equality", "wrong_extractable_numeric_answer"))
             .otherwise(pair("numeric_terminal_extraction_required", "malformed_nonextractable_numeric_answer")))
+
+
+def loss_mask(turns: Column, end: int, trained: str = "assistant") -> Column:
+    """struct(input_ids, labels) of an array of (role, ids) turns: a trained turn is
+    followed by the ``end`` id, and only it and its end are labelled, all else is -100."""
+    own = lambda m: m["role"] == trained
+    with_end = lambda m: F.when(own(m), F.concat(m["ids"], F.array(F.lit(end).cast("int")))).otherwise(m["ids"])
+    ids = F.flatten(F.transform(turns, with_end))
+    labels = F.flatten(F.transform(turns, lambda m: F.when(own(m), with_end(m)).otherwise(F.transform(m["ids"], lambda _: F.lit(-100)))))
+    return F.struct(ids.alias("input_ids"), labels.alias("labels"))

@@ -26,6 +26,17 @@ def evaluation_summary(records: DataFrame, *by: str) -> DataFrame:
         F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.avg("output_tokens").alias("mean_output_tokens"))
 
 
+def rescore_summary(records: DataFrame) -> DataFrame:
+    """Counts over (exact, value, expected, category) of rescored responses."""
+    return records.agg(F.count(F.lit(1)).alias("examples"), F.count_if("exact").alias("exact_format"), F.count("value").alias("extractable"), F.count_if(F.col("value") == F.col("expected")).alias("correct"), F.count_if(F.col("value").isNull()).alias("rejected"),
+                       F.count_if(F.col("category") == "conflicting_answers").alias("conflicting"), F.count_if(F.col("category") == "generation_truncated").alias("truncated"))
+
+
+def reward_summary(rewards: DataFrame, *by: str) -> DataFrame:
+    """Totals over (total, correct, penalised) of rewarded completions."""
+    return rewards.groupBy(*by).agg(F.count(F.lit(1)).alias("completions"), F.round(F.sum("total"), 6).alias("total"), F.count_if("correct").alias("correct"), F.count_if("penalised").alias("penalised"))
+
+
 def failure_counts(records: DataFrame) -> DataFrame:
     """Overlapping failure counts of the records, in one pass."""
     wrong = ~F.col("correct")
