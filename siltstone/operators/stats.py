@@ -70,6 +70,20 @@ def standardized_difference(rows: DataFrame, value: str, arm: str, one, two, *by
     return out.select(*by, F.when(pooled > 0, gap / F.sqrt(pooled)).when(gap == 0, 0.0).otherwise(F.lit(float("inf"))).alias("smd"))
 
 
+def moments(rows: DataFrame, values: list[str], name: str) -> DataFrame:
+    """One row: {name}_n, and {name}_s_v and {name}_q_v, the sums of each value and
+    of its square."""
+    v = lambda c: F.col(c).cast("double")
+    return rows.agg(F.count(F.lit(1)).alias(f"{name}_n"), *[F.sum(v(c)).alias(f"{name}_s_{c}") for c in values], *[F.sum(v(c) * v(c)).alias(f"{name}_q_{c}") for c in values])
+
+
+def largest_gap(n: Column, s: Column, q: Column, m: Column, t: Column, r: Column) -> Column:
+    """The standardized difference from counts, sums and sums of squares."""
+    gap = F.abs(s / n - t / m)
+    pooled = F.sqrt(F.greatest(F.lit(0.0), ((q - s * s / n) / (n - 1) + (r - t * t / m) / (m - 1)) / 2))
+    return F.when(pooled > 0, gap / pooled).when(gap == 0, 0.0).otherwise(F.lit(float("inf")))
+
+
 def categorical_balance(rows: DataFrame, level: str, arm: str, one, two) -> DataFrame:
     """|p1 - p2| of every level of either arm."""
     n = rows.groupBy(F.col(level).alias("level")).agg(F.count_if(F.col(arm) == one).alias("_a"), F.count_if(F.col(arm) == two).alias("_b")).filter("_a + _b > 0")
@@ -151,12 +165,24 @@ def overlap_rate(left: DataFrame, right: DataFrame, key: str, item: str) -> Data
     return both.agg(F.sum(F.size(F.array_intersect("_a", "_b"))).alias("shared"), F.sum(F.size(F.array_union("_a", "_b"))).alias("either")).withColumn("rate", rate(F.col("shared"), F.col("either")))
 
 
-def content_digest(rows: DataFrame, order: str, value: Column) -> DataFrame:
-    """One digest of the ordered content: a digest of each range's row digests,
-    then one of these, so that no task holds all rows' text."""
-    each = rows.select(F.col(order).alias("_o"), F.sha2(value, 256).alias("_h"), (F.col(order) / 4096).cast("long").alias("_b"))
-    blocks = each.groupBy("_b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_h"))), lambda x: x["_h"]), ""), 256).alias("_h"))
-    return blocks.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_h"))), lambda x: x["_h"]), ""), 256).alias("digest"))
+FAN = 4096
+
+
+def tree_digest(rows: DataFrame, order: str, value: Column) -> DataFrame:
+    """One row ``digest``: SHA-256 over the ordered rows, as a tree of fixed fan-out.
+
+    Rows are cut by the leading digits of their rank, not of their key's value, so
+    null, repeated and far apart keys do not crowd a node: a range sort numbers the
+    partitions' rows, and each level digests FAN consecutive digests of the one
+    below. No rows have the digest of the empty string."""
+    from siltstone.operators.ranks import ordinal
+
+    level = ordinal(rows.select(F.col(order).alias("_o"), F.sha2(value, 256).alias("_h")), [], ["_o", "_h"], "_n").select("_n", "_h")
+    most = rows.count()
+    while most > 1:
+        level = level.groupBy(F.expr(f"_n div {FAN}").alias("_n")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_h"))), lambda x: x["_h"]), ""), 256).alias("_h"))
+        most = -(-most // FAN)
+    return level.agg(F.coalesce(F.max("_h"), F.sha2(F.lit(""), 256)).alias("digest"))
 
 
 def token_kl(policy: Column, reference: Column) -> Column:

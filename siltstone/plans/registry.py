@@ -1,6 +1,6 @@
 """All queries of the library and the SQL that states the same results."""
 
-from siltstone.plans import responses, sampling, scoring, screening, stats, text  # noqa: F401
+from siltstone.plans import contracts, responses, sampling, scoring, screening, stats, text  # noqa: F401
 from siltstone.plans.base import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "f3_reason_counts"
