@@ -100,7 +100,7 @@ def balance_gate(rows: DataFrame, arm: str, one, two, numbers: list[str], catego
     return whole.select(F.round(worst, 8).alias("largest_smd"), F.round("_gap", 8).alias("largest_gap"), *checks_row({"numerical": worst <= smd, "categorical": F.col("_gap") <= gap, "source_mix": F.col("_mix")}))
 
 
-def promotion(development: Column, holdout: Column, correct: Column, extractability: Column, failures: Column, untargeted: Column, reload: Column, unchanged: Column, identities: Column, least: int, base: int, start: int, extractable: float) -> list[Column]:
+def promotion(development: Column, holdout: Column, correct: Column, extractability: Column, failures: Column, untargeted: Column, reload: Column, unchanged: Column, identities: Column, least: int, base: int, start: int | Column, extractable: float) -> list[Column]:
     """The eleven conditions of a promotion."""
     return checks_row({
         "development_retention": development, "holdout_retention": holdout, "candidate_least": correct >= least, "candidate_over_base": correct > base, "candidate_over_start": correct > start, "extractability": extractability >= extractable,
