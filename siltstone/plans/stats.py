@@ -107,10 +107,11 @@ def a15_category_effects(spark, d):
 
 @query()
 def a16_bootstrap(spark, d):
-    """Paired differences of each supplier's nation parity: a bounded suite of
-    evaluated items, as an evaluation has."""
-    s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), ((F.col("s_suppkey") % 5 < 2).cast("int") - (F.col("s_suppkey") % 3 == 0).cast("int")).alias("difference"))
-    return S.paired_bootstrap(s, "difference", 20260720, 10_000)
+    """Paired differences of two arms over the orders; the tests hold the draws
+    against the generator's."""
+    k = F.col("o_orderkey")
+    o = t(spark, d, "orders").select(k.alias("id"), ((k % 5 < 2).cast("int") - (k % 3 == 0).cast("int")).alias("difference"))
+    return S.paired_bootstrap(o, "difference", 20260720, 10_000)
 
 
 _REWARDS = "SELECT l_orderkey AS g, l_linenumber AS i, CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.0 END + CASE WHEN l_tax > 0.04 THEN 0.1 ELSE 0.0 END AS reward, l_returnflag || l_linestatus AS completion FROM lineitem"

