@@ -24,12 +24,12 @@ def ordinal(rows: DataFrame, group: list[str], order: list[str | Column], name:
     keys = [F.col(g) for g in group]
     by = [F.col(o) if isinstance(o, str) else o for o in order]
     sorted_ = rows.repartitionByRange(*keys, *by).sortWithinPartitions(*keys, *by)
-    placed = written(sorted_.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "ranks")
-    sizes = placed.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("_c"), F.min("_m").alias("_f"))
-    over = Window.partitionBy(*(group or [F.lit(1)])).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    starts = sizes.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], F.col("_p").alias("_q"), "_f", (F.sum("_c").over(over) - F.col("_c")).alias("_s"))
-    same = (F.col("_p") == F.col("_q"))
+    placed = written(sorted_.withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id()), "ranks")
+    sizes = placed.groupBy(*group, "__part").agg(F.count(F.lit(1)).alias("__count"), F.min("__row").alias("__first"))
+    over = Window.partitionBy(*(group or [F.lit(1)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+    starts = sizes.select(*[F.col(g).alias(f"__group{k}") for k, g in enumerate(group)], F.col("__part").alias("__at"), "__first", (F.sum("__count").over(over) - F.col("__count")).alias("__before"))
+    same = (F.col("__part") == F.col("__at"))
     for k, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+        same = same & F.col(g).eqNullSafe(F.col(f"__group{k}"))
     # within a partition rows of a group lie together, so the running id counts them
-    return placed.join(starts, same).withColumn(name, F.col("_m") - F.col("_f") + F.col("_s")).drop("_p", "_m", "_q", "_f", "_s", *[f"_g{k}" for k in range(len(group))])
+    return placed.join(starts, same).withColumn(name, F.col("__row") - F.col("__first") + F.col("__before")).drop("__part", "__row", "__at", "__first", "__before", *[f"__group{k}" for k in range(len(group))])

@@ -1,7 +1,8 @@
 """Seeded orders, partitions, quotas and stratified samples.
 
 A seeded order is SHA-256 of seed, ':' and key, ties by key: it is the same for
-any partitioning and can be repeated in SQL.
+any partitioning and can be repeated in SQL. Places in an order come from
+``ranks.ordinal``, so a stratum with a third of all rows is in no single task.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import seeded_rank
+from siltstone.operators.ranks import ordinal
 
 
 def lowest(rows: DataFrame, key: str, seed: str, k: int) -> DataFrame:
@@ -42,24 +44,28 @@ def per_stratum(rows: DataFrame, key: str, seed: str, stratum: list[str], quota:
     return rows.withColumn("_p", F.row_number().over(w)).filter(F.col("_p") <= quota).drop("_p")
 
 
+def _placed(rows: DataFrame, key: str, seed: str, stratum: list[str], name: str) -> DataFrame:
+    """Adds ``name``: the row's seeded place from 0 in its stratum."""
+    return ordinal(rows.withColumn("_r", seeded_rank(seed, F.col(key))), stratum, ["_r", key], name).drop("_r")
+
+
 def stratified_split(rows: DataFrame, key: str, seed: str, stratum: str, held: int) -> DataFrame:
     """Adds ``split``: ``held`` rows for validation, by largest remainder over
-    the strata and seeded rank within them."""
-    sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("weight"))
-    quota = largest_remainder(sizes, held, key=stratum).select(stratum, "quota")
-    w = Window.partitionBy(stratum).orderBy(seeded_rank(seed, F.col(key)), key)
-    return rows.withColumn("_p", F.row_number().over(w)).join(quota, stratum).withColumn("split", F.when(F.col("_p") <= F.col("quota"), "validation").otherwise("train")).drop("_p", "quota")
+    the strata (ties by the hash of the stratum) and seeded rank within them."""
+    sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("weight")).withColumn("_t", F.sha2(F.col(stratum).cast("string"), 256))
+    quota = largest_remainder(sizes, held, key="_t").select(stratum, "quota")
+    return _placed(rows, key, seed, [stratum], "_p").join(F.broadcast(quota), stratum).withColumn("split", F.when(F.col("_p") < F.col("quota"), "validation").otherwise("train")).drop("_p", "quota")
 
 
 def round_robin(rows: DataFrame, key: str, seed: str, stratum: str) -> DataFrame:
     """Adds ``turn`` (place in the stratum, from 1) and ``stratum_rank``: ordered
     by them, each stratum gives one row a round."""
-    w = Window.partitionBy(stratum).orderBy(seeded_rank(seed, F.col(key)), key)
-    return rows.withColumn("turn", F.row_number().over(w)).withColumn("stratum_rank", seeded_rank(seed, F.col(stratum)))
+    return _placed(rows, key, seed, [stratum], "turn").withColumn("turn", F.col("turn") + 1).withColumn("stratum_rank", seeded_rank(seed, F.col(stratum)))
 
 
-def roles(ordered: DataFrame, place: str, even: str = "first", odd: str = "second") -> DataFrame:
-    return ordered.withColumn("role", F.when((F.col(place) - 1) % 2 == 0, even).otherwise(odd))
+def roles(ordered: DataFrame, even: str = "first", odd: str = "second") -> DataFrame:
+    """Adds ``role``, alternating over the round-robin order of ``round_robin``."""
+    return ordinal(ordered, [], ["turn", "stratum_rank"], "_p").withColumn("role", F.when(F.col("_p") % 2 == 0, even).otherwise(odd)).drop("_p")
 
 
 def spread_labels(counts: DataFrame, seed: str, label: str = "label", n: str = "n") -> DataFrame:
@@ -68,16 +74,19 @@ def spread_labels(counts: DataFrame, seed: str, label: str = "label", n: str = "
     return many.withColumn("rank", F.sha2(F.concat_ws(":", F.lit(seed), F.col(label).cast("string"), F.col("copy").cast("string")), 256))
 
 
-def every_kth(rows: DataFrame, stratum: list[str], order: list[str], step: int) -> DataFrame:
-    w = Window.partitionBy(*stratum).orderBy(*order)
-    return rows.withColumn("_p", F.row_number().over(w) - 1).filter(F.col("_p") % step == 0).drop("_p")
+def every_kth(rows: DataFrame, stratum: list[str], order: list[str], quota: int) -> DataFrame:
+    """``quota`` rows of each stratum at equal steps of its order, from the first
+    on; all rows of a stratum that has fewer."""
+    sizes = rows.groupBy(*stratum).agg(F.greatest(F.expr(f"count(1) div {quota}"), F.lit(1)).alias("_step"))
+    placed = ordinal(rows, stratum, order, "_p").join(F.broadcast(sizes), stratum)
+    return placed.filter((F.col("_p") % F.col("_step") == 0) & (F.expr("_p div _step") < quota)).drop("_p", "_step")
 
 
 def proportional_slots(quotas: DataFrame, family: str = "family", quota: str = "quota", order: str = "family_order") -> DataFrame:
     """(family, k, position): slots of all families interleaved so that each is
     used in proportion: by (k - 1) / quota, then family order."""
-    slots = quotas.select(family, quota, order, F.explode(F.sequence(F.lit(1), F.col(quota).cast("int"))).alias("k"))
-    return slots.withColumn("position", F.row_number().over(Window.orderBy((F.col("k") - 1) / F.col(quota), order))).select(family, "k", "position")
+    slots = quotas.select(family, order, F.explode(F.sequence(F.lit(1), F.col(quota).cast("int"))).alias("k"), F.col(quota).alias("_q")).withColumn("_u", (F.col("k") - 1) / F.col("_q"))
+    return ordinal(slots, [], ["_u", order], "position").select(family, "k", (F.col("position") + 1).cast("int").alias("position"))
 
 
 def disjoint_and_whole(a: DataFrame, b: DataFrame, whole: DataFrame, key: str) -> DataFrame:

@@ -41,24 +41,29 @@ def failure_counts(records: DataFrame) -> DataFrame:
     """Overlapping failure counts of the records, in one pass."""
     wrong = ~F.col("correct")
     return records.agg(
-        F.count(F.lit(1)).alias("examples"), F.count_if(wrong).alias("wrong"), F.count_if(wrong & F.col("extractable")).alias("wrong_extractable"),
-        F.count_if(~F.col("extractable")).alias("not_extractable"), F.count_if("truncated").alias("truncated"),
-        F.count_if(F.col("correct") & ~F.col("exact_format")).alias("correct_inexact_format"), F.count_if(wrong & F.col("exact_format")).alias("wrong_exact_format"))
+        F.count(F.lit(1)).alias("examples"), F.count_if("correct").alias("correct"), F.count_if(wrong).alias("wrong"), F.count_if(wrong & F.col("extractable")).alias("wrong_extractable"),
+        F.count_if(~F.col("extractable")).alias("not_extractable"), F.count_if("truncated").alias("truncated"), F.count_if("failed").alias("generation_failures"), F.count_if(~F.col("exact_format")).alias("inexact_format"))
 
 
-def margins(rows: DataFrame, sets: list[list[str]]) -> DataFrame:
-    """Counts for several groupings in one pass; columns out of a set are null."""
+def margins(rows: DataFrame, sets: list[list[str]], distinct: dict[str, str] | None = None) -> DataFrame:
+    """Counts for several groupings in one pass; columns out of a set are null.
+    ``distinct``: names of distinct counts and what they count."""
     names = list(dict.fromkeys(c for s in sets for c in s))
-    return rows.groupingSets([[F.col(c) for c in s] for s in sets], *names).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupingSets([[F.col(c) for c in s] for s in sets], *names).agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(c).alias(n) for n, c in (distinct or {}).items()])
 
 
 def distribution(rows: DataFrame, value: str, *by: str, points=(25, 50, 75, 90, 95, 99)) -> DataFrame:
     """Count, extremes, mean, deviations and exact, linearly interpolated
-    percentiles."""
-    v = F.col(value)
-    return rows.groupBy(*by).agg(
-        F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
-        F.var_pop(v).alias("population_variance"), F.var_samp(v).alias("sample_variance"), *[F.percentile(v, p / 100).alias(f"p{p}") for p in points])
+    percentiles. Values are counted first, so a group's state is its distinct
+    values, not its rows."""
+    v, n = F.col("_v"), F.col("_n")
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    whole, mean = F.sum("_n"), F.sum(v * n) / F.sum("_n")
+    out = counted.groupBy(*by).agg(whole.alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), mean.alias("mean"), *[F.percentile(v, p / 100, n).alias(f"p{p}") for p in points])
+    # squares about the mean: about zero they would lose digits
+    about = counted.join(F.broadcast(out.select(*by, F.col("mean").alias("_m"))), list(by)) if by else counted.crossJoin(F.broadcast(out.select(F.col("mean").alias("_m"))))  # one row
+    spread = about.groupBy(*by).agg((F.sum(n * (v - F.col("_m")) * (v - F.col("_m"))) / F.sum("_n")).alias("population_variance"), F.try_divide(F.sum(n * (v - F.col("_m")) * (v - F.col("_m"))), F.sum("_n") - 1).alias("sample_variance"))
+    return out.join(spread, list(by)) if by else out.crossJoin(spread)  # one row
 
 
 def standardized_difference(rows: DataFrame, value: str, arm: str, one, two, *by: str) -> DataFrame:
@@ -113,39 +118,69 @@ def category_effects(rows: DataFrame, category: str, base: str, one: str, two: s
     return out.withColumn("delta", delta).withColumn("within_limit", delta >= -limit - 1e-12)
 
 
-def paired_bootstrap(differences: DataFrame, column: str, seed: int, replicates: int) -> DataFrame:
+MOST_ORDERED = 2_000_000
+
+
+def paired_bootstrap(differences: DataFrame, column: str, seed: int, replicates: int, ordered: bool = True) -> DataFrame:
     """The 2.5th and 97.5th percentile of resampled means of -1, 0 and 1.
 
-    Only the counts of the differences and their seeded order matter, so the
-    vector of one integer an evaluated item is what the driver receives. The
-    replicates draw what ``random.Random(seed).randrange`` would, in its order:
-    the high bits of the generator's words, those out of range passed over."""
-    values = np.array([r[0] for r in differences.orderBy("id").select(F.col(column).cast("int")).toLocalIterator()], np.int64)
+    ``ordered``: the replicates draw what ``random.Random(seed).randrange`` would,
+    in its order (a fixed rule: the high bits of the generator's words, those out
+    of range passed over), so the vector of one byte an evaluated item has to come
+    to the driver; more than MOST_ORDERED items are refused. Without it only the
+    counts of -1, 0 and 1 matter and are all that is collected: resamples are
+    multinomial draws from them, of the same distribution, for any number of items."""
+    counts = {r[0]: r[1] for r in differences.groupBy(F.col(column).cast("int")).count().collect()}
+    if set(counts) - {-1, 0, 1}:
+        raise ValueError("differences are -1, 0 or 1")
+    n = sum(counts.values())
+    if not n:
+        return differences.sparkSession.createDataFrame([], "n int, mean double, low double, high double")
+    if ordered:
+        if n > MOST_ORDERED:
+            raise ValueError(f"{n} items are more than {MOST_ORDERED}; resample by counts")
+        values = np.fromiter((r[0] for r in differences.orderBy("id").select(F.col(column).cast("byte")).toLocalIterator()), np.int8, n)
+        sums = _drawn_sums(values, seed, replicates)
+    else:
+        drawn = np.random.default_rng(seed).multinomial(n, [counts.get(k, 0) / n for k in (-1, 0, 1)], replicates)
+        sums = (drawn[:, 2] - drawn[:, 0]).tolist()
+    low, high = (linear_percentile(sorted(s / n for s in sums), p) for p in (0.025, 0.975))
+    return differences.sparkSession.createDataFrame([(n, (counts.get(1, 0) - counts.get(-1, 0)) / n, low, high)], "n int, mean double, low double, high double")
+
+
+def _drawn_sums(values: np.ndarray, seed: int, replicates: int) -> list[int]:
+    """Sums of resamples in the order of Python's generator."""
     n = len(values)
     state = random.Random(seed).getstate()[1]
     words = np.random.MT19937()
     words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
     shift = np.uint64(32 - n.bit_length())
-    sums, left = [], np.zeros(0, np.int64)
+    sums, left = [], np.zeros(0, np.int8)
     while len(sums) < replicates:
-        drawn = words.random_raw(1 << 20) >> shift
+        drawn = words.random_raw(1 << 22) >> shift
         left = np.concatenate([left, values[drawn[drawn < n].astype(np.int64)]])
         whole = len(left) // n
-        sums += left[:whole * n].reshape(whole, n).sum(1).tolist()
+        sums += left[:whole * n].reshape(whole, n).sum(1, dtype=np.int64).tolist()
         left = left[whole * n:]
-    means = sorted(s / n for s in sums[:replicates])
+    return sums[:replicates]
 
-    def point(p: float) -> float:
-        at = p * (len(means) - 1)
-        low = int(at)
-        return means[low] * (1.0 - (at - low)) + means[min(low + 1, len(means) - 1)] * (at - low)
 
-    return differences.sparkSession.createDataFrame([(n, int(values.sum()) / n, point(0.025), point(0.975))], "n int, mean double, low double, high double")
+def linear_percentile(ordered: list[float], p: float) -> float:
+    """Between the two values at p * (n - 1)."""
+    low, part = divmod(p * (len(ordered) - 1), 1)
+    above = ordered[min(int(low) + 1, len(ordered) - 1)]
+    return ordered[int(low)] * (1.0 - part) + above * part
 
 
-def reward_groups(rows: DataFrame, group: str, reward: str, completion: str) -> DataFrame:
-    """Mean, population variance, distinct rewards and completions of a group."""
-    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(reward).alias("mean"), F.var_pop(reward).alias("variance"), F.count_distinct(reward).alias("ranks"), F.count_distinct(completion).alias("completions"), F.max(reward).alias("best"), F.min(reward).alias("worst"))
+def reward_groups(rows: DataFrame, group: str, reward: str, completion: str, components: list[str] = (), correct: str | None = None) -> DataFrame:
+    """Mean, population variance, distinct rewards and completions of a group,
+    whether each component is the same for all, and how many are correct."""
+    same = F.lit(True)
+    for c in components:
+        same = same & F.min(c).eqNullSafe(F.max(c))
+    finite = F.bool_and(F.col(reward).isNotNull() & ~F.isnan(reward) & (F.abs(reward) < float("inf")))
+    right = F.count_if(correct) if correct else F.lit(None).cast("long")
+    return rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(reward).alias("mean"), F.var_pop(reward).alias("variance"), F.count_distinct(reward).alias("ranks"), F.count_distinct(completion).alias("completions"), finite.alias("finite"), same.alias("components_equal"), right.alias("correct"))
 
 
 def advantages(rows: DataFrame, group: str, reward: str) -> DataFrame:
@@ -153,16 +188,22 @@ def advantages(rows: DataFrame, group: str, reward: str) -> DataFrame:
     return rows.join(rows.groupBy(group).agg(F.avg(reward).alias("_m")), group).withColumn("advantage", F.col(reward) - F.col("_m")).drop("_m")
 
 
-def zero_variance_class(groups: DataFrame) -> DataFrame:
-    """Adds ``outcome``; the first that applies."""
-    return groups.withColumn("outcome", F.when(F.col("variance") > 0, "informative").when(F.col("completions") == 1, "identical_completions").when(F.col("best") <= 0, "all_wrong").when(F.col("worst") >= 1, "all_right").otherwise("tied_rewards"))
+def zero_variance_class(groups: DataFrame, size: int | None = None) -> DataFrame:
+    """Adds ``outcome``: null where rewards differ, else the first class that
+    applies. A group of another size, with a reward that is not finite, or whose
+    components differ where its rewards do not, is invalid."""
+    wrong_size = F.lit(False) if size is None else F.col("n") != size
+    return groups.withColumn("outcome", F.when(wrong_size | ~F.col("finite"), "invalid_or_ambiguous").when(F.col("ranks") > 1, F.lit(None)).when(~F.col("components_equal"), "invalid_or_ambiguous").when(F.col("completions") == 1, "output_identical")
+                             .when(F.col("correct") == F.col("n"), "all_correct_saturated").when(F.col("correct") == 0, "all_incorrect_saturated").otherwise("output_diverse_reward_indistinguishable"))
 
 
 def overlap_rate(left: DataFrame, right: DataFrame, key: str, item: str) -> DataFrame:
-    """Shared items over all items, summed over keys that both sides have."""
-    sets = lambda df, n: df.groupBy(key).agg(F.collect_set(item).alias(n))
-    both = sets(left, "_a").join(sets(right, "_b"), key)
-    return both.agg(F.sum(F.size(F.array_intersect("_a", "_b"))).alias("shared"), F.sum(F.size(F.array_union("_a", "_b"))).alias("either")).withColumn("rate", rate(F.col("shared"), F.col("either")))
+    """Shared items over all items, summed over keys that both sides have; counted,
+    so no key's items are held together."""
+    side = lambda df, n: df.select(key, item, F.lit(n).alias("_w"))
+    each = side(left, 1).unionByName(side(right, 2)).groupBy(key, item).agg(F.bit_or("_w").alias("_w"))
+    by = each.groupBy(key).agg(F.count_if(F.col("_w") == 3).alias("_s"), F.count(F.lit(1)).alias("_e"), F.bit_or("_w").alias("_w")).filter("_w = 3")
+    return by.agg(F.sum("_s").alias("shared"), F.sum("_e").alias("either")).withColumn("rate", rate(F.col("shared"), F.col("either")))
 
 
 FAN = 4096
@@ -191,11 +232,14 @@ def token_kl(policy: Column, reference: Column) -> Column:
     return F.expm1(gap) - gap
 
 
-def clipped_objective(rows: DataFrame, ratio: str, advantage: str, mask: str, clip: float, divisor: float) -> DataFrame:
-    """The masked sum of -min(r a, clip(r) a), over a fixed divisor."""
+def clipped_objective(rows: DataFrame, ratio: str, advantage: str, mask: str, clip: float, divisor: float, kl: str | None = None, beta: float = 0.0) -> DataFrame:
+    """One row: the masked sum of -min(r a, clip(r) a) over a fixed divisor, beta
+    times that of the token KL, and both together."""
     r, a = F.col(ratio), F.col(advantage)
     bound = F.least(F.greatest(r, F.lit(1 - clip)), F.lit(1 + clip))
-    return rows.agg((F.sum(F.when(F.col(mask), -F.least(r * a, bound * a)).otherwise(0.0)) / divisor).alias("objective"))
+    masked = lambda x: F.sum(F.when(F.col(mask), x).otherwise(0.0)) / divisor
+    policy, far = masked(-F.least(r * a, bound * a)), masked(F.col(kl)) * beta if kl else F.lit(0.0)
+    return rows.agg(policy.alias("policy"), far.alias("kl"), (policy + far).alias("objective"))
 
 
 def norms(rows: DataFrame, x: str, y: str) -> DataFrame:

@@ -48,7 +48,7 @@ def w6_largest_remainder(spark, d):
     return S.largest_remainder(c, 500).select("stratum", "quota")
 
 
-@query("WITH " + _QUOTA.format(k="lang || ':' || source", t="documents", n=100) + f"""
+@query("WITH " + _QUOTA.format(k="lang || ':' || source", t="documents", n=100).replace("m DESC, stratum", "m DESC, sha256(stratum)") + f"""
 SELECT doc_id, lang || ':' || source AS stratum, CASE WHEN row_number() OVER (PARTITION BY lang || ':' || source ORDER BY {_rank('split', 'doc_id')}, doc_id) <= quota THEN 'validation' ELSE 'train' END AS split
 FROM documents JOIN z ON z.stratum = lang || ':' || source""")
 def w7_stratified_split(spark, d):
@@ -56,16 +56,19 @@ def w7_stratified_split(spark, d):
     return S.stratified_split(docs, "doc_id", "split", "stratum", 100)
 
 
-@query(f"""SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_rank('robin', 'o_orderkey')}, o_orderkey)::INTEGER AS turn,
-  {_rank('robin', 'o_orderpriority')} AS stratum_rank FROM orders""")
+_ROBIN = f"""SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_rank('robin', 'o_orderkey')}, o_orderkey) AS turn,
+  {_rank('robin', 'o_orderpriority')} AS stratum_rank FROM orders"""
+
+
+@query(_ROBIN)
 def w4_round_robin(spark, d):
     return S.round_robin(t(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "robin", "o_orderpriority")
 
 
-@query("""SELECT c_custkey, CASE WHEN (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) % 2 = 0 THEN 'first' ELSE 'second' END AS role FROM customer""")
+@query(f"SELECT o_orderkey, CASE WHEN (row_number() OVER (ORDER BY turn, stratum_rank) - 1) % 2 = 0 THEN 'first' ELSE 'second' END AS role FROM ({_ROBIN})")
 def w5_roles(spark, d):
-    c = t(spark, d, "customer").withColumn("p", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")))
-    return S.roles(c, "p").select("c_custkey", "role")
+    """Roles alternate over the round-robin order."""
+    return S.roles(w4_round_robin(spark, d)).select("o_orderkey", "role")
 
 
 @query("""SELECT lang AS label, copy::INTEGER AS copy, sha256('spread:' || lang || ':' || copy::VARCHAR) AS rank FROM (SELECT lang, unnest(range(1, count(*) + 1)) AS copy FROM documents GROUP BY lang)""")
@@ -74,9 +77,10 @@ def w8_spread_labels(spark, d):
     return S.spread_labels(c, "spread")
 
 
-@query("SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS p FROM part) WHERE p % 20 = 0")
+@query("""SELECT p_partkey, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS p, greatest(count(*) OVER (PARTITION BY p_brand) // 4, 1) AS step FROM part) WHERE p % step = 0 AND p // step < 4""")
 def w9_systematic(spark, d):
-    return S.every_kth(t(spark, d, "part").select("p_partkey", "p_brand"), ["p_brand"], ["p_partkey"], 20)
+    """Four parts of each brand at equal steps."""
+    return S.every_kth(t(spark, d, "part").select("p_partkey", "p_brand"), ["p_brand"], ["p_partkey"], 4)
 
 
 @query("""WITH q AS (SELECT o_orderpriority AS family, count(*) // 100 + 1 AS quota, row_number() OVER (ORDER BY o_orderpriority) AS o FROM orders GROUP BY 1),
@@ -106,7 +110,9 @@ def u3_complement(spark, d):
     return docs.exceptAll(S.lowest(docs, "doc_id", "holdout", 100))
 
 
-@query("SELECT 0::BIGINT AS overlap, 0::BIGINT AS missing, 0::BIGINT AS foreign, true AS is_partition")
+@query(f"""WITH s AS (SELECT doc_id FROM documents ORDER BY {_rank('holdout', 'doc_id')}, doc_id LIMIT 100), r AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM s)),
+x AS (SELECT (SELECT count(*) FROM s JOIN r USING (doc_id)) AS overlap, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM s) AND doc_id NOT IN (SELECT doc_id FROM r)) AS missing, (SELECT count(*) FROM (SELECT doc_id FROM s UNION SELECT doc_id FROM r) WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS "foreign")
+SELECT overlap, missing, "foreign", overlap = 0 AND missing = 0 AND "foreign" = 0 AS is_partition FROM x""")
 def u4_partition_proof(spark, d):
     p = l1_partition(spark, d)
     return S.disjoint_and_whole(p.filter("partition = 'sealed'"), p.filter("partition = 'development'"), t(spark, d, "documents"), "doc_id")
@@ -129,3 +135,11 @@ def w11_schedule_totals(spark, d):
     s = t(spark, d, "orders").select(F.col("o_custkey").alias("arm"), F.col("o_orderkey").alias("step"), F.col("o_orderpriority").alias("id"), (F.col("o_orderkey") % 97).alias("tokens"))
     w = Window.partitionBy("arm").orderBy("step")
     return s.select("arm", "step", "id", F.row_number().over(Window.partitionBy("arm", "id").orderBy("step")).alias("nth"), "tokens", F.sum("tokens").over(w).alias("prefix_tokens"), F.sum("tokens").over(w.rowsBetween(0, 3)).alias("next_four"))
+
+
+@query("""SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey % 50 <> 0) AS overlap, (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 <> 0) AS missing, (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 50 = 0) AS "foreign", false AS is_partition""")
+def u4_no_partition(spark, d):
+    """Two sides that overlap, miss rows, and hold some that the whole does not."""
+    o = t(spark, d, "orders").select("o_orderkey")
+    a, b = o.filter("o_orderkey % 3 = 0"), o.filter("o_orderkey % 2 = 0 and o_orderkey % 50 <> 0")
+    return S.disjoint_and_whole(a, b, o.filter("o_orderkey % 50 <> 0"), "o_orderkey")

@@ -9,12 +9,12 @@ from siltstone.operators import stats as S
 from siltstone.plans.base import query, t
 
 _RECORDS = """r AS (SELECT o_orderkey AS id, o_orderpriority AS section, o_orderkey % 3 <> 0 AS correct, o_orderkey % 5 <> 0 OR o_orderkey % 3 <> 0 AS extractable,
-  o_orderkey % 4 <> 0 AS exact_format, o_orderkey % 11 = 0 AS truncated, o_custkey AS input_tokens, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 500 END AS output_tokens FROM orders)"""
+  o_orderkey % 4 <> 0 AS exact_format, o_orderkey % 11 = 0 AS truncated, o_orderkey % 17 = 0 AS failed, CASE WHEN o_orderkey % 15 = 0 THEN 'no_terminal_answer' WHEN o_orderkey % 15 = 5 THEN 'conflicting_answers' END AS category, o_custkey AS input_tokens, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderkey % 500 END AS output_tokens FROM orders)"""
 
 
 def _records(spark, d):
     k = F.col("o_orderkey")
-    return t(spark, d, "orders").select(k.alias("id"), F.col("o_orderpriority").alias("section"), (k % 3 != 0).alias("correct"), ((k % 5 != 0) | (k % 3 != 0)).alias("extractable"), (k % 4 != 0).alias("exact_format"), (k % 11 == 0).alias("truncated"), F.col("o_custkey").alias("input_tokens"), F.when(k % 13 != 0, k % 500).alias("output_tokens"))
+    return t(spark, d, "orders").select(k.alias("id"), F.col("o_orderpriority").alias("section"), (k % 3 != 0).alias("correct"), ((k % 5 != 0) | (k % 3 != 0)).alias("extractable"), (k % 4 != 0).alias("exact_format"), (k % 11 == 0).alias("truncated"), (k % 17 == 0).alias("failed"), F.when(k % 15 == 0, "no_terminal_answer").when(k % 15 == 5, "conflicting_answers").alias("category"), F.col("o_custkey").alias("input_tokens"), F.when(k % 13 != 0, k % 500).alias("output_tokens"))
 
 
 def _rounded(df, *names):
@@ -28,15 +28,25 @@ def a1_evaluation_summary(spark, d):
     return _rounded(S.evaluation_summary(_records(spark, d), "section"), "accuracy", "extraction_rate", "accuracy_extractable", "mean_output_tokens")
 
 
-@query(f"""WITH {_RECORDS} SELECT count(*) AS examples, count(*) FILTER (NOT correct) AS wrong, count(*) FILTER (NOT correct AND extractable) AS wrong_extractable, count(*) FILTER (NOT extractable) AS not_extractable,
-  count(*) FILTER (truncated) AS truncated, count(*) FILTER (correct AND NOT exact_format) AS correct_inexact_format, count(*) FILTER (NOT correct AND exact_format) AS wrong_exact_format FROM r""")
+@query(f"""WITH {_RECORDS} SELECT count(*) AS examples, count(*) FILTER (correct) AS correct, count(*) FILTER (NOT correct) AS wrong, count(*) FILTER (NOT correct AND extractable) AS wrong_extractable, count(*) FILTER (NOT extractable) AS not_extractable,
+  count(*) FILTER (truncated) AS truncated, count(*) FILTER (failed) AS generation_failures, count(*) FILTER (NOT exact_format) AS inexact_format FROM r""")
 def a3_failure_counts(spark, d):
     return S.failure_counts(_records(spark, d))
 
 
-@query("SELECT p_brand, p_size::VARCHAR AS p_size, p_type, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_size), (p_type), (p_brand, p_size))")
+@query(f"WITH {_RECORDS} SELECT category, count(*) AS n FROM r WHERE category IS NOT NULL GROUP BY category")
+def a3_failure_categories(spark, d):
+    return S.margins(_records(spark, d).filter("category is not null"), [["category"]])
+
+
+_CENSUS = "c AS (SELECT p_brand, p_size::VARCHAR AS p_size, p_type, p_size % 4 AS depth, CASE WHEN p_retailprice < 1000 THEN 'low' ELSE 'high' END AS magnitude, p_size % 3 AS operations, split_part(p_type, ' ', 1) AS grade, p_name FROM part)"
+
+
+@query(f"""WITH {_CENSUS} SELECT p_brand, p_size, p_type, depth::VARCHAR AS depth, magnitude, operations::VARCHAR AS operations, grade, count(*) AS n, count(DISTINCT p_name) AS names FROM c GROUP BY GROUPING SETS ((p_brand), (p_size), (p_type), (depth), (magnitude), (operations), (grade), ())""")
 def a4_capacity_census(spark, d):
-    return S.margins(t(spark, d, "part"), [["p_brand"], ["p_size"], ["p_type"], ["p_brand", "p_size"]]).select("p_brand", F.col("p_size").cast("string").alias("p_size"), "p_type", "n")
+    """Seven histograms and the whole, each with its distinct names."""
+    p = t(spark, d, "part").select("p_brand", F.col("p_size").cast("string").alias("p_size"), "p_type", (F.col("p_size") % 4).cast("string").alias("depth"), F.when(F.col("p_retailprice") < 1000, "low").otherwise("high").alias("magnitude"), (F.col("p_size") % 3).cast("string").alias("operations"), F.substring_index("p_type", " ", 1).alias("grade"), "p_name")
+    return S.margins(p, [["p_brand"], ["p_size"], ["p_type"], ["depth"], ["magnitude"], ["operations"], ["grade"], []], distinct={"names": "p_name"})
 
 
 @query("""SELECT c_mktsegment, n, greatest(320 - n, 0) AS deficit, n >= 320 AS enough FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1)""")
@@ -122,10 +132,15 @@ def _rewards(spark, d):
 
 
 @query(f"""SELECT g, count(*) AS n, round(avg(reward), 8) AS mean, round(var_pop(reward), 8) AS variance, count(DISTINCT reward) AS ranks, count(DISTINCT completion) AS completions,
- CASE WHEN count(DISTINCT reward) > 1 THEN 'informative' WHEN count(DISTINCT completion) = 1 THEN 'identical_completions' WHEN max(reward) <= 0 THEN 'all_wrong' WHEN min(reward) >= 1 THEN 'all_right' ELSE 'tied_rewards' END AS outcome FROM ({_REWARDS}) GROUP BY g""")
+ CASE WHEN count(*) < 2 THEN 'invalid_or_ambiguous' WHEN count(DISTINCT reward) > 1 THEN NULL WHEN min(base) <> max(base) OR min(extra) <> max(extra) THEN 'invalid_or_ambiguous' WHEN count(DISTINCT completion) = 1 THEN 'output_identical' WHEN min(base) = 1 THEN 'all_correct_saturated' WHEN max(base) = 0 THEN 'all_incorrect_saturated' ELSE 'output_diverse_reward_indistinguishable' END AS outcome
+ FROM (SELECT *, CASE WHEN reward >= 1 THEN 1 ELSE 0 END AS base, round(reward - CASE WHEN reward >= 1 THEN 1 ELSE 0 END, 4) AS extra FROM ({_REWARDS})) GROUP BY g""")
 def a18_zero_variance(spark, d):
-    g = S.reward_groups(_rewards(spark, d), "g", "reward", "completion").withColumn("variance", F.when(F.col("ranks") == 1, 0.0).otherwise(F.col("variance")))
-    return _rounded(S.zero_variance_class(g), "mean", "variance").drop("best", "worst")
+    """Groups of one completion are invalid; rewards have two components."""
+    base = F.when(F.col("reward") >= 1, 1).otherwise(0)
+    r = _rewards(spark, d).withColumns({"base": base, "extra": F.round(F.col("reward") - base, 4), "right": F.col("reward") >= 1})
+    g = S.reward_groups(r, "g", "reward", "completion", ["base", "extra"], "right").withColumn("variance", F.when(F.col("ranks") == 1, 0.0).otherwise(F.col("variance")))
+    g = g.withColumn("finite", F.col("finite") & (F.col("n") > 1))
+    return _rounded(S.zero_variance_class(g), "mean", "variance").select("g", "n", "mean", "variance", "ranks", "completions", "outcome")
 
 
 @query(f"SELECT g, i, round(reward - avg(reward) OVER (PARTITION BY g), 8) + 0.0 AS advantage FROM ({_REWARDS})")
@@ -160,10 +175,13 @@ def a28_norms(spark, d):
     return out.withColumns({"norm_x": F.round("norm_x", 6), "norm_y": F.round("norm_y", 6), "cosine": F.round("cosine", 8)})
 
 
-@query("""SELECT round(sum(CASE WHEN l_linestatus = 'F' THEN -least(r * a, least(greatest(r, 0.8), 1.2) * a) ELSE 0.0 END) / 1000.0, 4) AS objective FROM (SELECT l_linestatus, 0.5 + l_tax * 10 AS r, l_discount - 0.05 AS a FROM lineitem)""")
+@query("""WITH z AS (SELECT sum(CASE WHEN l_linestatus = 'F' THEN -least(r * a, least(greatest(r, 0.8), 1.2) * a) ELSE 0.0 END) / 1000.0 AS p, 0.04 * sum(CASE WHEN l_linestatus = 'F' THEN (exp(a) - 1) - a ELSE 0.0 END) / 1000.0 AS k FROM (SELECT l_linestatus, 0.5 + l_tax * 10 AS r, l_discount - 0.05 AS a FROM lineitem))
+SELECT round(p, 4) AS policy, round(k, 6) AS kl, round(p + k, 4) AS objective FROM z""")
 def a29_objective(spark, d):
-    li = t(spark, d, "lineitem").select((F.col("l_linestatus") == "F").alias("m"), (0.5 + F.col("l_tax") * 10).alias("r"), (F.col("l_discount") - 0.05).alias("a"))
-    return S.clipped_objective(li, "r", "a", "m", 0.2, 1000.0).withColumn("objective", F.round("objective", 4))
+    a = F.col("l_discount") - 0.05
+    li = t(spark, d, "lineitem").select((F.col("l_linestatus") == "F").alias("m"), (0.5 + F.col("l_tax") * 10).alias("r"), a.alias("a"), S.token_kl(F.lit(0.0), a).alias("k"))
+    out = S.clipped_objective(li, "r", "a", "m", 0.2, 1000.0, "k", 0.04)
+    return out.select(F.round("policy", 4).alias("policy"), F.round("kl", 6).alias("kl"), F.round("objective", 4).alias("objective"))
 
 
 @query("""SELECT l_orderkey, min(l_linenumber) AS first_line, arg_min(l_linenumber, (l_quantity, l_extendedprice, l_linenumber)) AS chosen FROM lineitem WHERE l_discount >= 0.02 GROUP BY l_orderkey""")

@@ -111,3 +111,10 @@ def test_sequential_screen(spark):
         if not any((i, j) in links for j in accepted):
             accepted.append(i)
     assert {i for i, ok in got.items() if ok} == set(accepted) and len(got) == 7
+
+
+def test_bootstrap_by_counts(spark):
+    many = spark.range(3000).select("id", (F.col("id") % 3 - 1).cast("int").alias("d"))
+    one, two = (stats.paired_bootstrap(many, "d", 5, 4000, ordered=o).first() for o in (True, False))
+    assert one["mean"] == two["mean"] == 0 and abs(one["low"] - two["low"]) < 0.004 and abs(one["high"] - two["high"]) < 0.004
+    assert stats.paired_bootstrap(many.limit(0), "d", 5, 10).count() == 0
