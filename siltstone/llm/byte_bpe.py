@@ -259,7 +259,10 @@ def op2_rank_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their ids."""
+    """The documents with their ids, in a column that replaces one named ids.
+
+    Null and empty texts have no ids; repeated rows and very long texts are encoded
+    like any; other columns pass; no rows give none."""
     import public_tokenizers
 
     return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -84,7 +84,9 @@ def likeness(left: bytes, right: bytes, bits: int = BITS) -> float:
 
 def fingerprint(docs: DataFrame, text: str = "text", bins: int = BINS, bits: int = BITS, words: int = WORDS) -> DataFrame:
     """Adds ``fingerprint`` (hex) to ``docs``, replacing a column so named; a null
-    or wordless text has ''. Equal word sequences have equal fingerprints."""
+    or wordless text has ''. Equal word sequences, and repeated rows, have equal
+    fingerprints; a very long text is read whole; other columns pass; no rows give
+    none."""
     from pyspark.sql import types as T
 
     base = docs.select(*[c for c in docs.columns if c != "fingerprint"])

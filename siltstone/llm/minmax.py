@@ -282,7 +282,8 @@ def op9_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8)."""
+    """One document of each group of near duplicates (five words, 0.8); nulls,
+    ties, empty tables, clashing columns and very long texts as ``one_of_each``."""
     return one_of_each(docs)
 
 

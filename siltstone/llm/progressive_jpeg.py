@@ -526,6 +526,10 @@ STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def op7_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a progressive JPEG, decoded again. A null or empty text is a
+    payload of 192 spaces; a very long one is an image of as many units; equal texts,
+    and rows that repeat, give equal values; other columns are not read; no rows
+    give none."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
     def run(batches):

@@ -248,7 +248,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None)
     """Encodes every text (null: empty), appends ``end_id`` to each document and
     writes the files under ``folder``, a URI that all executors reach. Returns
     (file name, documents, ids) of each file in order: a few numbers a file, not
-    a document. Null ids come first; equal ids follow by text. Extra columns are
+    a document. Null ids come first; equal ids follow by text. A very long text is
+    encoded whole and may make a file larger than others. Extra columns are
     ignored; without documents there are no files."""
     rows = ordered_by_id(docs, max(8, 2 * partitions(docs.sparkSession)), lookahead=False)
 

@@ -521,7 +521,10 @@ def op1_relative_lz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their duplicate spans; those of which nothing is left
-    go, those without words from the start stay."""
+    go, those without words from the start (null and empty texts) stay. Rows that
+    repeat lose every window on every side; a very long text is parsed whole;
+    n_chars is counted again where a text changed; other columns, of any name, pass;
+    no rows give none."""
     out = dedup(docs)
     text = F.col("text")
     kept = out.filter((F.col("removed_words") == 0) | F.rlike(text, F.lit("[^ \\t\\n\\x0B\\f\\r]")))
