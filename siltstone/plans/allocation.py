@@ -104,7 +104,9 @@ def c7_bins(spark, d):
     return b.groupBy("arm").agg(F.sum("s").alias("tokens"), F.sum("n").alias("entries"), (F.max("s") <= F.sum("s") / 16 + F.max("m")).alias("balanced"))
 
 
-@query()
+@query("""WITH e AS (SELECT p_brand AS arm, p_size AS tokens, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS r FROM part), c AS (SELECT arm, r, sum(tokens) OVER (PARTITION BY arm ORDER BY r) AS cum FROM e),
+n AS (SELECT arm, count(*) AS n, sum(tokens) AS whole FROM e GROUP BY arm), g AS (SELECT n.arm, k, (k // n) * whole + coalesce((SELECT cum FROM c WHERE c.arm = n.arm AND c.r = k % n), 0) AS tokens FROM n, (SELECT unnest(range(450, 1801)) AS k))
+SELECT arm, arg_min(k, (abs(tokens - 20000), k))::INTEGER AS k, arg_min(tokens, (abs(tokens - 20000), k))::BIGINT AS tokens, min(abs(tokens - 20000))::BIGINT AS gap FROM g GROUP BY arm""")
 def c8_occurrence_search(spark, d):
     """For each brand the number of occurrences, of 450 to 1800, whose tokens are
     closest to the budget when each part is used evenly and the cheapest more often."""
