@@ -37,18 +37,25 @@ from siltstone.llm.components import components
 ROWS, BANDS = 6, 46
 PERMUTATIONS = ROWS * BANDS // 2
 GRID, STAR = 1024, 1024
-BYTES = 32 << 20
+BYTES = 8 << 20
 _ADDED = [T.StructField("_ref", T.LongType()), T.StructField("_b", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_h1", T.LongType()), T.StructField("_h2", T.LongType()), T.StructField("_keys", T.ArrayType(T.LongType())), T.StructField("_sig", T.BinaryType())]
 
 
 def sets_of(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, document) of the distinct shingles, by document, then hash."""
-    hashes, doc = shingle_hashes(Words(texts, lower=True), words)
-    order = np.lexsort((hashes, doc))
-    hashes, doc = hashes[order], doc[order]
-    keep = np.ones(len(hashes), bool)
-    keep[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
-    return hashes[keep], doc[keep]
+    """(hash, document) of the distinct shingles, by document, then hash.
+
+    Texts are hashed in slices: the work arrays take some thirty bytes for a byte
+    of text, what is kept of it about three."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for a, b in texts.slices(1 << 20):
+        hashes, doc = shingle_hashes(Words(texts.part(a, b), lower=True), words)
+        order = np.lexsort((hashes, doc))
+        hashes, doc = hashes[order], doc[order]
+        keep = np.ones(len(hashes), bool)
+        keep[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
+        found.append((hashes[keep], doc[keep] + a))
+    hashes, doc = map(np.concatenate, zip(*found))
+    return hashes, doc
 
 
 def signatures(hashes: np.ndarray, doc: np.ndarray, count: int) -> np.ndarray:
@@ -130,8 +137,8 @@ def confirmed(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> Da
 
     def check(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                own = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 64):
+                own = batch.slice(k, 64)
                 n = own.num_rows
                 both = [sets_of(Texts.of_list([_plain(x) for x in own.column(c).to_pylist()]), words) for c in (2, 3)]
                 size = sum(np.bincount(d, minlength=n) for _, d in both)
