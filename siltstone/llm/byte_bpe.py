@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import table
+from siltstone.llm.common import cache, let_go, table
 
 #: Bytes of pre-tokens and ids that a worker remembers, about.
 MEMORY = 120 << 20
+#: Pairs of ids whose rank a worker remembers, some hundred bytes each.
+PAIRS = 300_000
 
 
 class RankQueue:
@@ -89,7 +91,7 @@ class Vocabulary:
         rank = self._pairs.get(key)
         if rank is None:
             rank = self.ranks.get(self.bytes[left] + self.bytes[right], -1)
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             self._pairs[key] = rank
         return rank
@@ -199,11 +201,12 @@ def _groups(texts: list[str], most: int = 1 << 21):
         yield group
 
 
-_encoders: dict[tuple, Encoder] = {}
+_encoders: dict[tuple, Encoder] = cache()
 
 
 def encoder(path: str, pattern: str) -> Encoder:
     """This worker's encoder for a rank file that is installed on every node."""
+    let_go(_encoders)
     if (path, pattern) not in _encoders:
         _encoders[path, pattern] = Encoder(Vocabulary.load(path), pattern)
     return _encoders[path, pattern]

@@ -3,7 +3,9 @@ access, and vectorised word hashing."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -19,6 +21,8 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0x100000001B3)
 _powers = np.ones(1, np.uint64)
+_caches: list[dict] = []
+_swept = 0.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +73,60 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def cache() -> dict:
+    """A dict for what a worker keeps between tasks of one operator, emptied when
+    it takes up another's."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def let_go(keep: dict | None = None, pause: float = 0.0) -> None:
+    """Gives back what this worker holds without need: the caches but for ``keep``,
+    and free memory that the allocators hold, for that at most once in ``pause``
+    seconds. Workers are used again by the stages that follow, and what one left
+    would stand beside what the next one needs."""
+    global _swept
+    for held in _caches:
+        if held is not keep:
+            held.clear()
+    if time.monotonic() - _swept >= pause:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+        _swept = time.monotonic()
+
+
+def tidy_batches(work):
+    """``work`` over Arrow batches, with ``let_go`` before and after it."""
+    def run(batches):
+        let_go()
+        yield from work(batches)
+        let_go()
+
+    return run
+
+
+def tidy_group(work):
+    """``work`` on one group, with ``let_go`` after it."""
+    def run(group):
+        out = work(group)
+        let_go(pause=1.0)
+        return out
+
+    return run
+
+
+def tidy_pair(work):
+    """``work`` on the two groups of a cogroup, with ``let_go`` after it."""
+    def run(left, right):
+        out = work(left, right)
+        let_go(pause=1.0)
+        return out
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (splitmix64)."""
     with np.errstate(over="ignore"):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import Texts, Words, mix64, partitions, seeds, shared_dir, shingle_hashes, table, written
+from siltstone.llm.common import Texts, Words, mix64, partitions, seeds, shared_dir, shingle_hashes, table, tidy_batches, tidy_group, written
 from siltstone.llm.components import components
 
 ROWS, BANDS = 6, 46
@@ -111,7 +111,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                 ], schema=pa.schema([*batch.schema, ("_ref", pa.int64()), ("_b", pa.int64()), ("_n", pa.int64()), ("_h1", pa.int64()), ("_h2", pa.int64()), ("_keys", pa.list_(pa.int64())), ("_sig", pa.binary())]))
                 number += n
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy_batches(run), schema)
 
 
 def _squeezed(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def _squeezed(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             packed = [len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["ref", "packed"])
 
-    return rows.select("_ref", "text").join(wanted.select(F.col("ref").alias("_ref")).distinct(), "_ref", "left_semi").mapInArrow(run, "ref long, packed binary").checkpoint()
+    return rows.select("_ref", "text").join(wanted.select(F.col("ref").alias("_ref")).distinct(), "_ref", "left_semi").mapInArrow(tidy_batches(run), "ref long, packed binary").checkpoint()
 
 
 def _plain(data: bytes) -> bytes:
@@ -149,7 +149,7 @@ def confirmed(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> Da
                 ok = 100 * same >= percent * (size - same)
                 yield own.select(["a", "b"]).filter(pa.array(ok))
 
-    return full.mapInArrow(check, "a long, b long")
+    return full.mapInArrow(tidy_batches(check), "a long, b long")
 
 
 def _indexed(words: int, percent: int):
@@ -244,14 +244,14 @@ def labelled(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFr
     own = F.pmod(F.xxhash64("ref"), cells).cast("int")
     grid = open_.select("key", "ref", "comp", "mass", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("other"))
     grid = grid.select("key", "ref", "comp", "mass", "sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"))
-    ask = grid.groupBy("key", "lo", "hi").applyInArrow(_across(percent), "ref long, comp long").distinct().checkpoint()
+    ask = grid.groupBy("key", "lo", "hi").applyInArrow(tidy_group(_across(percent)), "ref long, comp long").distinct().checkpoint()
     asks = ask.join(member.select("ref", "bytes"), "ref").groupBy("comp").agg(F.count(F.lit(1)).alias("_n"), F.sum("bytes").alias("_b"))
     asked = asks.join(mass, "comp").select("comp", "lots", blocks(F.col("_n"), F.col("_b")).alias("ask_lots")).checkpoint()
     texts = _squeezed(rows, ask.select("ref").unionAll(member.join(asked.select("comp"), "comp", "left_semi").select("ref")))
     spread = lambda side, mine, theirs: side.select("comp", "ref", F.pmod(F.xxhash64("ref"), F.col(mine)).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)).alias("theirs"))
     askers = spread(ask.join(asked, "comp"), "ask_lots", "lots").select("comp", "ref", F.col("theirs").alias("block"), F.col("mine").alias("lot"), F.lit(True).alias("asks"))
     members = spread(member.select("ref", "comp").join(asked, "comp"), "lots", "ask_lots").select("comp", "ref", F.col("mine").alias("block"), F.col("theirs").alias("lot"), F.lit(False).alias("asks"))
-    second = askers.unionAll(members).join(texts, "ref").groupBy("comp", "block", "lot").applyInArrow(_indexed(words, percent), "a long, b long").distinct().checkpoint()
+    second = askers.unionAll(members).join(texts, "ref").groupBy("comp", "block", "lot").applyInArrow(tidy_group(_indexed(words, percent)), "a long, b long").distinct().checkpoint()
     final = components(first.unionAll(second))
     comp = classes.join(final.select(F.col("node").alias("_rep"), F.col("label").alias("_comp")), "_rep", "left").select("_h1", "_h2", "_n", F.coalesce("_comp", "_rep").alias("_comp"))
     # without texts, so a class of very many equal documents moves few bytes

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import Texts, Words, mix64, partitions, seeds, table, written
+from siltstone.llm.common import Texts, Words, mix64, partitions, seeds, table, tidy_batches, tidy_group, tidy_pair, written
 
 SPAN = 35
 GRAM = 8
@@ -85,7 +85,7 @@ def blocks_of(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "block long, rows binary")
+    return docs.mapInArrow(tidy_batches(run), "block long, rows binary")
 
 
 class Block:
@@ -331,7 +331,7 @@ def parsed(docs: DataFrame, span: int, finish, schema) -> DataFrame:
                 found[number] = hit.astype("<u8").tobytes()
         return _answers(found)
 
-    shared = stored.mapInArrow(send_anchors, _MESSAGE).groupBy("part").applyInArrow(meet_anchors, _ANSWER)
+    shared = stored.mapInArrow(tidy_batches(send_anchors), _MESSAGE).groupBy("part").applyInArrow(tidy_group(meet_anchors), _ANSWER)
 
     def send_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -389,7 +389,7 @@ def parsed(docs: DataFrame, span: int, finish, schema) -> DataFrame:
         return _answers({int(own[a]): pack(keep[a:b]) for a, b in zip(cut, ends)})
 
     # read by three stages below
-    known = written(stored.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send_windows, _MESSAGE).groupBy("part").applyInArrow(meet_windows, _ANSWER), "known")
+    known = written(stored.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(tidy_pair(send_windows), _MESSAGE).groupBy("part").applyInArrow(tidy_group(meet_windows), _ANSWER), "known")
 
     def each(left: pa.Table, right: pa.Table, kinds: tuple[int, ...]):
         """(number, rows, messages of each kind) of the block of a cogroup."""
@@ -421,9 +421,9 @@ def parsed(docs: DataFrame, span: int, finish, schema) -> DataFrame:
         return pa.concat_tables(out)
 
     blocks = stored.groupBy("block")
-    asked = blocks.cogroup(known.groupBy("block")).applyInArrow(ask, _ANSWER)
-    replies = blocks.cogroup(known.unionAll(asked).groupBy("block")).applyInArrow(answer, _ANSWER)
-    return blocks.cogroup(known.unionAll(replies).groupBy("block")).applyInArrow(factor, schema)
+    asked = blocks.cogroup(known.groupBy("block")).applyInArrow(tidy_pair(ask), _ANSWER)
+    replies = blocks.cogroup(known.unionAll(asked).groupBy("block")).applyInArrow(tidy_pair(answer), _ANSWER)
+    return blocks.cogroup(known.unionAll(replies).groupBy("block")).applyInArrow(tidy_pair(factor), schema)
 
 
 def _removed(block: Block, found: np.ndarray) -> np.ndarray:

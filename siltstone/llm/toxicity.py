@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import Texts, Words, shared_dir, shingle_hashes, table
+from siltstone.llm.common import Texts, Words, shared_dir, shingle_hashes, table, tidy_batches
 
 #: Bound of the labelled rows used in training.
 SAMPLE_ROWS = 20_000
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model:
     if rate < 1:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(rate * 1_000_000))
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id").dropna().select("text", "toxic")
-    sample = sample.mapInArrow(_with_least, "text string, toxic int, least long").dropDuplicates(["least", "toxic"]).select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")).checkpoint()
+    sample = sample.mapInArrow(tidy_batches(_with_least), "text string, toxic int, least long").dropDuplicates(["least", "toxic"]).select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")).checkpoint()
 
     width = 2 * FOLDS
     each = [f"n{k}" for k in range(width)]  # toxic and clean documents by fold
@@ -274,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in range(width))], ["term", *each])
 
     cores = sample.sparkSession.sparkContext.defaultParallelism
-    counts = sample.repartition(cores).mapInArrow(count, "term string, " + ", ".join(f"{n} long" for n in each)).groupBy("term").agg(*[F.sum(n).alias(n) for n in each]).checkpoint()
+    counts = sample.repartition(cores).mapInArrow(tidy_batches(count), "term string, " + ", ".join(f"{n} long" for n in each)).groupBy("term").agg(*[F.sum(n).alias(n) for n in each]).checkpoint()
     whole = counts.filter(F.col("term") == "").first()
     toxic = [whole[2 * k + 1] for k in range(FOLDS)] if whole else [0]
     clean = [whole[2 * k + 2] for k in range(FOLDS)] if whole else [0]
@@ -301,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model:
             rows = [(g, round(models[g][fold].matches(text)[0], 2), label) for text, label, fold in zip(*(c.to_pylist() for c in batch.columns)) for g in range(len(LADDER))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.int32())], ["g", "e", "toxic"])
 
-    seen = sorted(tuple(r) for r in sample.repartition(cores).mapInArrow(weigh, "g int, e double, toxic int").groupBy("g", "e", "toxic").count().collect())
+    seen = sorted(tuple(r) for r in sample.repartition(cores).mapInArrow(tidy_batches(weigh), "g int, e double, toxic int").groupBy("g", "e", "toxic").count().collect())
     best = None
     for g, bound_ in enumerate(LADDER):
         rows = np.array([r[1:] for r in seen if r[0] == g], float)
@@ -331,7 +331,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             more = [pa.array([model.probability(f[0]) for f in found], pa.float64()), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "toxicity", "toxic_evidence", "toxic_clauses", "toxic_clause"])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy_batches(run), schema)
 
 
 def op6_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,4 +361,4 @@ def _kept(docs: DataFrame, model: Model) -> DataFrame:
             keep = [model.probability(model.matches(t or "")[0]) < THRESHOLD for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy_batches(run), docs.schema)

@@ -65,3 +65,24 @@ def test_frames(spark):
     digest = B.encode(df, PATH, P.PATTERN, digests=True).filter("text = 'hello world'").first()
     assert digest["n_tokens"] == 2 and digest["decoded_sha256"] == hashlib.sha256(b"hello world").hexdigest()
     assert B.encode(df.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_a_worker_gives_back_what_it_holds(spark):
+    """The pipeline's other stages run in the workers that encoded before."""
+    import pyarrow as pa
+
+    from siltstone.llm import common, minmax
+
+    coder = B.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    coder.encode(["some words to hold"])
+    assert B.encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN) is coder
+    batch = pa.RecordBatch.from_pydict({"text": ["a b"]})
+    assert list(common.tidy_batches(lambda batches: batches)([batch])) == [batch] and not B._encoders
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in minmax.one_of_each(docs).collect()) == [1, 3]
+    small = B.Vocabulary({bytes([i]): i for i in range(256)})
+    old, B.PAIRS = B.PAIRS, 10
+    try:
+        assert [small.merged(a, 1) for a in range(50)] == [-1] * 50 and len(small._pairs) <= 10
+    finally:
+        B.PAIRS = old
