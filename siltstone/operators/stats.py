@@ -118,16 +118,13 @@ def category_effects(rows: DataFrame, category: str, base: str, one: str, two: s
     return out.withColumn("delta", delta).withColumn("within_limit", delta >= -limit - 1e-12)
 
 
-MOST_ORDERED = 2_000_000
-
-
 def paired_bootstrap(differences: DataFrame, column: str, seed: int, replicates: int, ordered: bool = True) -> DataFrame:
     """The 2.5th and 97.5th percentile of resampled means of -1, 0 and 1.
 
     ``ordered``: the replicates draw what ``random.Random(seed).randrange`` would,
     in its order (a fixed rule: the high bits of the generator's words, those out
     of range passed over), so the vector of one byte an evaluated item has to come
-    to the driver; more than MOST_ORDERED items are refused. Without it only the
+    to the driver, which draws items x replicates numbers. Without it only the
     counts of -1, 0 and 1 matter and are all that is collected: resamples are
     multinomial draws from them, of the same distribution, for any number of items."""
     counts = {r[0]: r[1] for r in differences.groupBy(F.col(column).cast("int")).count().collect()}
@@ -137,9 +134,9 @@ def paired_bootstrap(differences: DataFrame, column: str, seed: int, replicates:
     if not n:
         return differences.sparkSession.createDataFrame([], "n int, mean double, low double, high double")
     if ordered:
-        if n > MOST_ORDERED:
-            raise ValueError(f"{n} items are more than {MOST_ORDERED}; resample by counts")
-        values = np.fromiter((r[0] for r in differences.orderBy("id").select(F.col(column).cast("byte")).toLocalIterator()), np.int8, n)
+        if n.bit_length() > 32:
+            raise ValueError(f"{n} items take more than a word of the generator a draw; resample by counts")
+        values = differences.orderBy("id").select(F.col(column).cast("byte")).toArrow().column(0).to_numpy()
         sums = _drawn_sums(values, seed, replicates)
     else:
         drawn = np.random.default_rng(seed).multinomial(n, [counts.get(k, 0) / n for k in (-1, 0, 1)], replicates)
@@ -154,14 +151,24 @@ def _drawn_sums(values: np.ndarray, seed: int, replicates: int) -> list[int]:
     state = random.Random(seed).getstate()[1]
     words = np.random.MT19937()
     words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
-    shift = np.uint64(32 - n.bit_length())
-    sums, left = [], np.zeros(0, np.int8)
+    words = np.random.Generator(words)
+    shift = np.uint32(32 - n.bit_length())
+    sums, held, got = [], 0, 0  # of the replicate that is under way: its sum and its draws
     while len(sums) < replicates:
-        drawn = words.random_raw(1 << 22) >> shift
-        left = np.concatenate([left, values[drawn[drawn < n].astype(np.int64)]])
-        whole = len(left) // n
-        sums += left[:whole * n].reshape(whole, n).sum(1, dtype=np.int64).tolist()
-        left = left[whole * n:]
+        drawn = words.integers(0, 1 << 32, 1 << 20, dtype=np.uint32)
+        drawn >>= shift
+        picked = values.take(drawn[drawn < n])
+        at = 0
+        if got + len(picked) >= n and got:
+            at = n - got
+            sums.append(held + int(picked[:at].sum(dtype=np.int64)))
+            held, got = 0, 0
+        if not got:
+            whole = (len(picked) - at) // n
+            sums += picked[at:at + whole * n].reshape(whole, n).sum(1, dtype=np.int64).tolist()
+            at += whole * n
+        held += int(picked[at:].sum(dtype=np.int64))
+        got += len(picked) - at
     return sums[:replicates]
 
 

@@ -118,3 +118,13 @@ def test_bootstrap_by_counts(spark):
     one, two = (stats.paired_bootstrap(many, "d", 5, 4000, ordered=o).first() for o in (True, False))
     assert one["mean"] == two["mean"] == 0 and abs(one["low"] - two["low"]) < 0.004 and abs(one["high"] - two["high"]) < 0.004
     assert stats.paired_bootstrap(many.limit(0), "d", 5, 10).count() == 0
+
+
+def test_bootstrap_of_many_items_keeps_the_generators_order(spark):
+    """More items than were once refused, and replicates over several blocks."""
+    n = 2_100_000
+    many = spark.range(n).select("id", (F.col("id") % 3 - 1).cast("int").alias("d"))
+    got = stats.paired_bootstrap(many, "d", 5, 2).first()
+    rng = random.Random(5)
+    low, high = sorted(sum(rng.randrange(n) % 3 - 1 for _ in range(n)) / n for _ in range(2))
+    assert got["n"] == n and (got["low"], got["high"]) == (stats.linear_percentile([low, high], 0.025), stats.linear_percentile([low, high], 0.975))
