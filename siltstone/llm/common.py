@@ -69,6 +69,20 @@ def written(df: DataFrame, kind: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed; the shuffle files that this took are removed at once,
+    where Spark would keep them until the driver happens to collect its garbage:
+    with many steps they add up on disk. What is read later is the checkpoint."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        # a frame keeps the setting that it was made under
+        return df.select("*").checkpoint()
+    finally:
+        conf.set(key, before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

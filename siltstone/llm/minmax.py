@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import Texts, Words, mix64, partitions, seeds, shared_dir, shingle_hashes, table, tidy_batches, tidy_group, written
-from siltstone.llm.components import components
+from siltstone.llm import components as C
+from siltstone.llm.common import Texts, Words, checkpointed, mix64, partitions, seeds, shared_dir, shingle_hashes, table, tidy_batches, tidy_group, written
 
 ROWS, BANDS = 6, 46
 PERMUTATIONS = ROWS * BANDS // 2
@@ -121,7 +121,7 @@ def _squeezed(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             packed = [len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["ref", "packed"])
 
-    return rows.select("_ref", "text").join(wanted.select(F.col("ref").alias("_ref")).distinct(), "_ref", "left_semi").mapInArrow(tidy_batches(run), "ref long, packed binary").checkpoint()
+    return checkpointed(rows.select("_ref", "text").join(wanted.select(F.col("ref").alias("_ref")).distinct(), "_ref", "left_semi").mapInArrow(tidy_batches(run), "ref long, packed binary"))
 
 
 def _plain(data: bytes) -> bytes:
@@ -219,23 +219,23 @@ def labelled(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFr
     spark = docs.sparkSession
     shared_dir(spark)
     rows = written(signed(docs, words), "minmax")
-    classes = rows.filter("_n > 0").groupBy("_h1", "_h2", "_n").agg(F.min("_ref").alias("_rep")).checkpoint()
+    classes = checkpointed(rows.filter("_n > 0").groupBy("_h1", "_h2", "_n").agg(F.min("_ref").alias("_rep")))
     reps = classes.select(F.col("_rep").alias("_ref"))
     entries = rows.select("_ref", "_keys").join(reps, "_ref", "left_semi").select(F.explode("_keys").alias("key"), F.col("_ref").alias("ref"))
     shared = entries.groupBy("key").agg(F.min("ref").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    bucketed = entries.join(shared, "key").checkpoint()
+    bucketed = checkpointed(entries.join(shared, "key"))
     star = bucketed.filter("ref <> lead").groupBy(F.col("lead").alias("a"), F.col("ref").alias("b")).agg(F.max("size").alias("size"))
-    star = star.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / STAR)).alias("lot")).checkpoint()
-    first = confirmed(star, rows, words, percent).checkpoint()
-    labels = components(first)
+    star = checkpointed(star.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / STAR)).alias("lot")))
+    first = checkpointed(confirmed(star, rows, words, percent))
+    linked = C.stars(first)
     # buckets that still hold several components
-    member = bucketed.select("ref").distinct().join(labels.withColumnRenamed("node", "ref"), "ref", "left").select("ref", F.coalesce("label", "ref").alias("comp"))
+    member = bucketed.select("ref").distinct().join(C.labels(linked).withColumnRenamed("node", "ref"), "ref", "left").select("ref", F.coalesce("label", "ref").alias("comp"))
     member = member.join(rows.select(F.col("_ref").alias("ref"), F.col("_b").alias("bytes")), "ref")
     # blocks that a component's texts make
     blocks = lambda n, b: F.greatest(F.ceil(n / GRID), F.ceil(b / BYTES), F.lit(1)).cast("int")
     mass = member.groupBy("comp").agg(F.count(F.lit(1)).alias("mass"), F.sum("bytes").alias("_b")).select("comp", "mass", blocks(F.col("mass"), F.col("_b")).alias("lots"))
-    member = member.join(mass, "comp").checkpoint()
-    placed = bucketed.select("key", "ref", "size").join(member, "ref").checkpoint()
+    member = checkpointed(member.join(mass, "comp"))
+    placed = checkpointed(bucketed.select("key", "ref", "size").join(member, "ref"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("key")
     open_ = placed.filter("size > 2").join(mixed, "key").join(rows.select(F.col("_ref").alias("ref"), F.col("_sig").alias("sig")), "ref")
     # a large bucket is compared block against block; a block with itself has
@@ -244,15 +244,16 @@ def labelled(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFr
     own = F.pmod(F.xxhash64("ref"), cells).cast("int")
     grid = open_.select("key", "ref", "comp", "mass", "sig", own.alias("own"), F.explode(F.sequence(F.lit(0), cells - 1)).alias("other"))
     grid = grid.select("key", "ref", "comp", "mass", "sig", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own")).alias("side"))
-    ask = grid.groupBy("key", "lo", "hi").applyInArrow(tidy_group(_across(percent)), "ref long, comp long").distinct().checkpoint()
+    ask = checkpointed(grid.groupBy("key", "lo", "hi").applyInArrow(tidy_group(_across(percent)), "ref long, comp long").distinct())
     asks = ask.join(member.select("ref", "bytes"), "ref").groupBy("comp").agg(F.count(F.lit(1)).alias("_n"), F.sum("bytes").alias("_b"))
-    asked = asks.join(mass, "comp").select("comp", "lots", blocks(F.col("_n"), F.col("_b")).alias("ask_lots")).checkpoint()
+    asked = checkpointed(asks.join(mass, "comp").select("comp", "lots", blocks(F.col("_n"), F.col("_b")).alias("ask_lots")))
     texts = _squeezed(rows, ask.select("ref").unionAll(member.join(asked.select("comp"), "comp", "left_semi").select("ref")))
     spread = lambda side, mine, theirs: side.select("comp", "ref", F.pmod(F.xxhash64("ref"), F.col(mine)).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)).alias("theirs"))
     askers = spread(ask.join(asked, "comp"), "ask_lots", "lots").select("comp", "ref", F.col("theirs").alias("block"), F.col("mine").alias("lot"), F.lit(True).alias("asks"))
     members = spread(member.select("ref", "comp").join(asked, "comp"), "lots", "ask_lots").select("comp", "ref", F.col("mine").alias("block"), F.col("theirs").alias("lot"), F.lit(False).alias("asks"))
-    second = askers.unionAll(members).join(texts, "ref").groupBy("comp", "block", "lot").applyInArrow(tidy_group(_indexed(words, percent)), "a long, b long").distinct().checkpoint()
-    final = components(first.unionAll(second))
+    second = checkpointed(askers.unionAll(members).join(texts, "ref").groupBy("comp", "block", "lot").applyInArrow(tidy_group(_indexed(words, percent)), "a long, b long").distinct())
+    # the links so far are kept as stars, which take few rounds
+    final = C.components(linked.select(F.col("hi").alias("a"), F.col("lo").alias("b")).unionAll(second))
     comp = classes.join(final.select(F.col("node").alias("_rep"), F.col("label").alias("_comp")), "_rep", "left").select("_h1", "_h2", "_n", F.coalesce("_comp", "_rep").alias("_comp"))
     # without texts, so a class of very many equal documents moves few bytes
     narrow = rows.select("_ref", "doc_id", "_n", "_h1", "_h2").join(comp, ["_h1", "_h2", "_n"], "left").select("_ref", "doc_id", "_n", F.coalesce("_comp", "_ref").alias("_comp"))

@@ -84,3 +84,22 @@ def test_components_of_long_shuffled_paths(spark):
     links = list(zip(order, order[1:])) + [(2000, 2001)]
     out = {r[0]: r[1] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert out == {i: 0 for i in range(1500)} | {2000: 2000, 2001: 2000}
+
+
+def test_steps_leave_no_shuffle_files(spark, tmp_path):
+    """With many steps and partitions they would add up on disk."""
+    from siltstone.llm.common import checkpointed, shared_dir
+
+    shared_dir(spark)
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held, before = (lambda: tracker.shuffleStatuses().size()), spark.conf.get(key)
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    gc_free = held()
+    out = checkpointed(links.groupBy("a").count())
+    assert held() <= gc_free and out.count() == 300 and spark.conf.get(key) == before
+    gc_free = held()
+    found = components(links)
+    # but for the counts that end a round
+    assert held() <= gc_free + 8
+    assert {r[1] for r in found.collect()} == {0}
