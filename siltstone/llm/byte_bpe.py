@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterable
-from itertools import chain
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,15 @@ class RankQueue:
         else:
             bucket.append(position)
 
+    def fill(self, ranks: np.ndarray) -> None:
+        """Pushes every position whose rank is not negative; the queue is empty."""
+        at = np.flatnonzero(ranks >= 0)
+        at = at[np.argsort(ranks[at], kind="stable")]
+        found, first = np.unique(ranks[at], return_index=True)
+        for rank, part in zip(found.tolist(), np.split(at, first[1:])):
+            self.push(rank, -1)
+            self.buckets[rank][:] = part.tolist()
+
     def pop(self) -> tuple[int, list[int]]:
         """The least rank and its positions in ascending order; (-1, []) if none."""
         if not self.top:
@@ -73,12 +84,16 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {i: b for b, i in ranks.items()}
+        self.names = {i: str(i) for i in self.bytes}
         if max(ranks.values()) >= 64**3:
             raise ValueError("ranks of 262,144 and over don't fit the queue's three levels")
         self.single = [ranks.get(bytes([i]), -1) for i in range(256)]
         if min(self.single) < 0:
             raise ValueError("every byte needs a rank")
         self._pairs: dict[int, int] = {}
+        # the rank of any two bytes, or -1
+        self._bytes = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int32)
+        self._single = np.array(self.single, np.int32)
 
     @classmethod
     def load(cls, path: str) -> "Vocabulary":
@@ -108,41 +123,66 @@ class Vocabulary:
                 todo.append(k)
             else:
                 out[k] = []
-        joined = b"".join([pieces[k] for k in todo])
-        n = len(joined)
-        ids = [self.single[b] for b in joined]
-        following, previous = list(range(1, n + 1)), list(range(-1, n - 1))
-        at, starts = 0, []
-        for k in todo:
-            starts.append(at)
-            previous[at] = -1
-            at += len(pieces[k])
-            following[at - 1] = -1
-        queue, merged = RankQueue(), self.merged
-        push = queue.push
-        for i in range(n):
-            j = following[i]
-            if j >= 0 and (rank := merged(ids[i], ids[j])) >= 0:
-                push(rank, i)
+        if not todo:
+            return out
+        data = np.frombuffer(b"".join([pieces[k] for k in todo]), np.uint8)
+        ends = np.cumsum([len(pieces[k]) for k in todo], dtype=np.int64)
+        starts = [0, *ends.tolist()][:-1]
+        ids = self._single[data].tolist()
+        links = np.arange(1, len(data) + 1)
+        links[ends - 1] = -1
+        following = links.tolist()
+        links = np.arange(-1, len(data) - 1)
+        links[starts] = -1
+        previous = links.tolist()
+        # the rank of each position's pair; an entry of another rank is stale
+        ranks = np.full(len(data), -1, np.int32)
+        ranks[:-1] = self._bytes[data[:-1], data[1:]]
+        ranks[ends - 1] = -1
+        current = ranks.tolist()
+        queue, merged, known = RankQueue(), self.merged, self._pairs.get
+        queue.fill(ranks)
+        push, bucket_of = queue.push, queue.buckets.get
         while True:
             target, positions = queue.pop()
             if target < 0:
                 break
             for spot, i in enumerate(positions):
-                left = ids[i]
-                if left < 0 or (j := following[i]) < 0 or merged(left, ids[j]) != target:
+                if current[i] != target:
                     continue  # stale
+                j = following[i]
                 ids[i], ids[j] = target, -1
+                current[j] = -1
                 following[i] = k = following[j]
                 least = target
                 if k >= 0:
                     previous[k] = i
-                    if (rank := merged(target, ids[k])) >= 0:
-                        push(rank, i)
-                        least = min(least, rank)
-                if (h := previous[i]) >= 0 and (rank := merged(ids[h], target)) >= 0:
-                    push(rank, h)
-                    least = min(least, rank)
+                    rank = known(target << 18 | ids[k])
+                    if rank is None:
+                        rank = merged(target, ids[k])
+                    current[i] = rank
+                    if rank >= 0:
+                        if (bucket := bucket_of(rank)) is None:
+                            push(rank, i)
+                        else:
+                            bucket.append(i)
+                        if rank < least:
+                            least = rank
+                else:
+                    current[i] = -1
+                h = previous[i]
+                if h >= 0:
+                    rank = known(ids[h] << 18 | target)
+                    if rank is None:
+                        rank = merged(ids[h], target)
+                    current[h] = rank
+                    if rank >= 0:
+                        if (bucket := bucket_of(rank)) is None:
+                            push(rank, h)
+                        else:
+                            bucket.append(h)
+                        if rank < least:
+                            least = rank
                 if least < target:
                     # a lesser rank came up: the rest of this bucket waits
                     for rest in positions[spot + 1:]:
@@ -160,31 +200,82 @@ class Vocabulary:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
+#: Code points below this are split by ``re`` with classes written out.
+NARROW = 0x250
+
+
+def splitter(pattern: str):
+    """A function that gives the matches of ``pattern`` in a text as the regex
+    library does. Texts of narrow characters are split by ``re``, which is quicker,
+    with the classes for letters, numbers and whitespace listed from that library;
+    where the pattern has other escapes, none are."""
+    import regex
+
+    whole = regex.compile(pattern).findall
+    listed = {}
+    for name in (r"\p{L}", r"\p{N}", r"\s", r"\S"):
+        is_one = regex.compile(name).match
+        runs: list[list[int]] = []
+        for c in range(NARROW):
+            if is_one(chr(c)):
+                if runs and runs[-1][1] == c - 1:
+                    runs[-1][1] = c
+                else:
+                    runs.append([c, c])
+        listed[name] = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
+    out, inside = [], False
+    for part in re.findall(r"\\p\{[^}]*\}|\\.|.", pattern, re.S):
+        if part[0] == "\\":
+            if part not in listed:
+                return whole
+            part = listed[part] if inside else f"[{listed[part]}]"
+        elif part == "[":
+            if inside:
+                return whole
+            inside = True
+        elif part == "]":
+            inside = False
+        elif inside and part in "&|~-" or part == "." or part == "(" and inside:
+            return whole
+        out.append(part)
+    quick = re.compile("".join(out)).findall
+    wide = re.compile(f"[^\\x00-\\u{NARROW - 1:04x}]").search
+
+    def split(text: str) -> list[str]:
+        return whole(text) if not text.isascii() and wide(text) else quick(text)
+
+    return split
+
+
+class Seen(dict):
+    """Numbers by pre-token, in the order in which they came up."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        return number
+
+
 class Encoder:
     """Splits texts by a pattern and encodes the pre-tokens. Holds the ids of
     pre-tokens seen before up to ``memory`` bytes, then begins anew."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str, memory: int = MEMORY):
-        import regex
-
         self.vocabulary, self.memory = vocabulary, memory
-        self.split = regex.compile(pattern).findall
-        self.seen: dict[str, tuple[int, ...]] = {}
-        self.held = 0
+        self.split = splitter(pattern)
+        self.seen, self.forms, self.held = Seen(), [], 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         out = []
         for group in _groups(texts):
-            pieces = [self.split(t) for t in group]
             if self.held > self.memory:
-                self.seen, self.held = {}, 0
-            seen = self.seen
-            new = sorted(set(chain.from_iterable(pieces)).difference(seen))
-            if new:
-                for p, ids in zip(new, self.vocabulary.encode_all([p.encode("utf-8") for p in new])):
-                    seen[p] = tuple(ids)
-                    self.held += 180 + len(p) + 8 * len(ids)
-            out += [list(chain.from_iterable(map(seen.__getitem__, ps))) for ps in pieces]
+                self.seen, self.forms, self.held = Seen(), [], 0
+            seen, forms = self.seen, self.forms
+            found = [list(map(seen.__getitem__, self.split(t))) for t in group]
+            new = list(islice(reversed(seen), len(seen) - len(forms)))[::-1]
+            for p, ids in zip(new, self.vocabulary.encode_all([p.encode("utf-8") for p in new])):
+                forms.append(tuple(ids))
+                self.held += 220 + len(p) + 8 * len(ids)
+            out += [list(chain.from_iterable(map(forms.__getitem__, x))) for x in found]
         return out
 
 
@@ -230,7 +321,7 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> D
             for group in _groups([t or "" for t in column.to_pylist()]):
                 ids = coder.encode(group)
                 if digests:
-                    more = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(coder.vocabulary.decode(x)).hexdigest() for x in ids], pa.string())]
+                    more = [pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(" ".join(map(coder.vocabulary.names.__getitem__, x)).encode()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(coder.vocabulary.decode(x)).hexdigest() for x in ids], pa.string())]
                 else:
                     more = [pa.array(ids, pa.list_(pa.int32()))]
                 own = batch.slice(first, len(group))

@@ -86,3 +86,30 @@ def test_a_worker_gives_back_what_it_holds(spark):
         assert [small.merged(a, 1) for a in range(50)] == [-1] * 50 and len(small._pairs) <= 10
     finally:
         B.PAIRS = old
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x24F, exclude_categories=["Cs"]), max_size=60))
+def test_narrow_texts_are_split_alike(text):
+    import regex
+
+    assert B.splitter(P.PATTERN)(text) == regex.compile(P.PATTERN).findall(text)
+
+
+def test_every_narrow_character():
+    import regex
+
+    split, whole = B.splitter(P.PATTERN), regex.compile(P.PATTERN).findall
+    for c in map(chr, range(0x260)):
+        for text in (c, f"a{c}1", f" {c}{c}", f"{c} {c} ", f"'{c}", f"x\n{c}\n"):
+            assert split(text) == whole(text)
+    assert B.splitter(r"\d+")("a12 3") == ["12", "3"]
+    assert B.splitter(r"\S+")("a\x1cb \xa0c") == regex.compile(r"\S+").findall("a\x1cb \xa0c")
+
+
+def test_a_first_fill_of_the_queue():
+    import numpy as np
+
+    q = B.RankQueue()
+    q.fill(np.array([7, -1, 5, 7, 90_000, 5], np.int32))
+    assert [q.pop() for _ in range(4)] == [(5, [2, 5]), (7, [0, 3]), (90_000, [4]), (-1, [])]
