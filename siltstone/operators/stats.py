@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import random
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators.draws import drawn_sums
+
 # Fixed value: the 97.5th percentile of the normal distribution.
 Z = 1.959963984540054
 
@@ -124,7 +124,7 @@ def paired_bootstrap(differences: DataFrame, column: str, seed: int, replicates:
     ``ordered``: the replicates draw what ``random.Random(seed).randrange`` would,
     in its order (a fixed rule: the high bits of the generator's words, those out
     of range passed over), so the vector of one byte an evaluated item has to come
-    to the driver, which draws items x replicates numbers. Without it only the
+    to the driver; items x replicates numbers are drawn from it by all tasks. Without it only the
     counts of -1, 0 and 1 matter and are all that is collected: resamples are
     multinomial draws from them, of the same distribution, for any number of items."""
     counts = {r[0]: r[1] for r in differences.groupBy(F.col(column).cast("int")).count().collect()}
@@ -137,7 +137,7 @@ def paired_bootstrap(differences: DataFrame, column: str, seed: int, replicates:
         if n.bit_length() > 32:
             raise ValueError(f"{n} items take more than a word of the generator a draw; resample by counts")
         values = differences.orderBy("id").select(F.col(column).cast("byte")).toArrow().column(0).to_numpy()
-        sums = _drawn_sums(values, seed, replicates)
+        sums = drawn_sums(differences.sparkSession, values, seed, replicates)
     else:
         drawn = np.random.default_rng(seed).multinomial(n, [counts.get(k, 0) / n for k in (-1, 0, 1)], replicates)
         sums = (drawn[:, 2] - drawn[:, 0]).tolist()
@@ -145,33 +145,6 @@ def paired_bootstrap(differences: DataFrame, column: str, seed: int, replicates:
     return differences.sparkSession.createDataFrame([(n, (counts.get(1, 0) - counts.get(-1, 0)) / n, low, high)], "n int, mean double, low double, high double")
 
 
-def _drawn_sums(values: np.ndarray, seed: int, replicates: int) -> list[int]:
-    """Sums of resamples in the order of Python's generator."""
-    n = len(values)
-    state = random.Random(seed).getstate()[1]
-    words = np.random.MT19937()
-    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
-    words = np.random.Generator(words)
-    shift = np.uint32(32 - n.bit_length())
-    sums, held, got = [], 0, 0  # of the replicate that is under way: its sum and its draws
-    while len(sums) < replicates:
-        drawn = words.integers(0, 1 << 32, 1 << 20, dtype=np.uint32)
-        drawn >>= shift
-        picked = values.take(drawn[drawn < n])
-        at = 0
-        if got + len(picked) >= n and got:
-            at = n - got
-            sums.append(held + int(picked[:at].sum(dtype=np.int64)))
-            held, got = 0, 0
-        if not got:
-            whole = (len(picked) - at) // n
-            sums += picked[at:at + whole * n].reshape(whole, n).sum(1, dtype=np.int64).tolist()
-            at += whole * n
-        held += int(picked[at:].sum(dtype=np.int64))
-        got += len(picked) - at
-    return sums[:replicates]
-
-
 def linear_percentile(ordered: list[float], p: float) -> float:
     """Between the two values at p * (n - 1)."""
     low, part = divmod(p * (len(ordered) - 1), 1)
